@@ -86,17 +86,24 @@ def prefix_sums(df: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFra
     return out.drop("tie", *(f"before_{k}" for k in names))
 
 
-def with_row_ids(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text) of ``documents()``: rid identifies a row and orders rows by doc_id.
+def with_row_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(rid, doc_id, text) of ``documents()``, and whether rid is doc_id.
 
-    Where doc_ids are unique and not null, rid is doc_id.  Else rows are numbered by
-    (doc_id with nulls first, hash of the text); repeated rows share one rid and so
-    count as one document.
+    rid identifies a document and orders documents by doc_id.  Where doc_ids are unique
+    and not null it is doc_id itself.  Else documents are numbered by (doc_id with nulls
+    first, hash of the text); repeated rows share one rid and so count as one document.
     """
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
     if odd.isEmpty():
-        return docs.select(F.col("doc_id").alias("rid"), "doc_id", "text")
+        return docs.select(F.col("doc_id").alias("rid"), "doc_id", "text"), True
     docs = docs.withColumn("hash", F.xxhash64("text"))
     ids = settled(ordered_index(docs.select("doc_id", "hash").distinct(), ["doc_id", "hash"]), "rids")
     ids = ids.select(F.col("index").alias("rid"), F.col("doc_id").alias("id"), F.col("hash").alias("h"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h"))).select("rid", "doc_id", "text")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h"))).select("rid", "doc_id", "text"), False
+
+
+def for_each_row(result: DataFrame, own: DataFrame, unique: bool) -> DataFrame:
+    """A result by rid, given back by doc_id for each row of ``with_row_ids``."""
+    if unique:
+        return result.withColumnRenamed("rid", "doc_id")
+    return own.select("rid", "doc_id").join(result, "rid").drop("rid")

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, neighbours, packing, quality_rules, sharding, toxicity
+from . import bpe, neardup, neighbours, packing, passages, quality_rules, sharding, toxicity
 from .labelled import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, labels = docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = neighbours.score(own, neighbours.train(own, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that 100-byte strings seen earlier cover, removed."""
+    out = passages.remove_repeats(docs(spark, sf_dir), 100)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
