@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, neighbours, packing, passages, quality_rules, sharding, toxicity
+from . import bpe, digests, licenses, neardup, neighbours, packing, passages, quality_rules, sharding, toxicity
 from .labelled import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that 100-byte strings seen earlier cover, removed."""
     out = passages.remove_repeats(docs(spark, sf_dir), 100)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that whole texts and lines are."""
+    return licenses.scan(docs(spark, sf_dir))
+
+
+ORACLE_SQL["op1_license_scan"] = licenses.oracle_sql()
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of texts and of their edits."""
+    return digests.likeness_to_edits(docs(spark, sf_dir))
