@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,9 +47,21 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string), null texts empty, nothing else."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id long, text string), null texts empty; columns to ``keep`` in a struct ``rest``."""
+    rest = [F.struct(*keep).alias("rest")] if keep else []
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
+
+
+def filtered(df: DataFrame, text_col: str, keeps: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose whole texts ``keeps`` calls true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = ["" if t is None else t for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            yield b.filter(pa.array(keeps(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def ordered_index(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,15 +108,18 @@ def with_row_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
     """
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
     if odd.isEmpty():
-        return docs.select(F.col("doc_id").alias("rid"), "doc_id", "text"), True
+        return docs.withColumn("rid", F.col("doc_id")), True
     docs = docs.withColumn("hash", F.xxhash64("text"))
     ids = settled(ordered_index(docs.select("doc_id", "hash").distinct(), ["doc_id", "hash"]), "rids")
     ids = ids.select(F.col("index").alias("rid"), F.col("doc_id").alias("id"), F.col("hash").alias("h"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h"))).select("rid", "doc_id", "text"), False
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h"))).drop("id", "h", "hash"), False
 
 
 def for_each_row(result: DataFrame, own: DataFrame, unique: bool) -> DataFrame:
-    """A result by rid, given back by doc_id for each row of ``with_row_ids``."""
+    """A result by rid, given back for each row of ``with_row_ids``, by doc_id and with the columns kept."""
+    if "rest" in own.columns:
+        kept = [f"rest.{c}" for c in own.schema["rest"].dataType.names]
+        return own.select("rid", "doc_id", *kept).join(result, "rid").drop("rid")
     if unique:
         return result.withColumnRenamed("rid", "doc_id")
     return own.select("rid", "doc_id").join(result, "rid").drop("rid")

@@ -12,42 +12,49 @@ from pyspark.sql import DataFrame
 from .common import documents
 
 BLOCK = 1 << 15
+POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def simhash(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash of a whole text.
+def simhashes(text: str | None, words: int = 3, tables: int = 1) -> list[int]:
+    """64-bit SimHashes of a whole text, ``tables`` independent ones.
 
     A-Z are lower-cased; words are runs without ASCII white space; a shingle is
     ``words`` words joined by spaces, repeats included (a shorter text is one
     shingle, a text without words gives 0).  A bit is 1 if it is 1 in over half of
-    the shingles' XXH64 (seed 42).
+    the shingles' hashes: XXH64 (seed 42) for the first fingerprint, functions of it for
+    the others.
     """
     parts = (text or "").encode("utf-8", "replace").lower().split()
     if not parts:
-        return 0
-    if len(parts) < words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), 42)
+        return [0] * tables
+    words = min(words, len(parts))
     n = len(parts) - words + 1
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((tables, 64), np.int64)
     digest = xxhash.xxh64_intdigest
     for lo in range(0, n, BLOCK):
         m = min(BLOCK, n - lo)
         grams = map(b" ".join, zip(*(parts[lo + k : lo + k + m] for k in range(words))))
-        h = np.fromiter((digest(g, 42) for g in grams), dtype="<u8", count=m)
-        ones += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
+        first = np.fromiter((digest(g, 42) for g in grams), dtype="<u8", count=m)
+        for t in range(tables):
+            h = first if t == 0 else mixed(first + np.uint64(t * 0x9E3779B97F4A7C15 % (1 << 64)))
+            ones[t] += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return (2 * ones > n).astype(np.uint64) @ POWERS
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A well-spread function of 64-bit values."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the SimHash of every whole text as a signed long."""
+def fingerprints(df: DataFrame, words: int = 3, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fps): the SimHashes of every whole text as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [signed(simhash(t, words)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = np.array([simhashes(t, words, tables) for t in b.column(1).to_pylist()], np.uint64).view(np.int64).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * tables), pa.array(fps))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "fps"])
 
-    return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, fps array<long>")

@@ -11,24 +11,32 @@ from .fingerprints import fingerprints
 from .triejoin import near_links
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every document.
 
-    Documents whose SimHash differs in at most ``budget`` bits are linked; component_id
-    is the smallest doc_id that links reach, the document's own included.  Equal
-    fingerprints are folded to one node before the join and unfolded after it, so a
-    large group of copies costs one node.  Texts without words share fingerprint 0.
-    A document with a null id follows its fingerprint, or has a null component if no
-    document with that fingerprint has an id.  Repeated rows are returned as often as
-    they are given; an empty table gives no rows.
+    Documents with a SimHash that differs in at most ``budget`` bits are linked, in any
+    of ``tables`` independent SimHashes; component_id is the smallest doc_id that links
+    reach, the document's own included; fp is the first SimHash.  Documents whose
+    fingerprints are all equal are folded to one node before the join and unfolded
+    after it, so a large group of copies costs one node.  Texts without words share
+    fingerprint 0.  A document with a null id follows its fingerprints, or has a null
+    component if no document with them has an id.  Repeated rows are returned as often
+    as they are given; an empty table gives no rows.
     """
-    fps = settled(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    fps = settled(fingerprints(docs, words, tables, id_col, text_col), "fingerprints")
+    nodes = settled(fps.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
+    known = nodes.filter("node is not null")
+    by_table = known.select(F.posexplode("fps").alias("part", "fp"), "node")
+    if tables == 1:
+        links = near_links(by_table, budget)
+    else:
+        heads = settled(by_table.groupBy("part", "fp").agg(F.min("node").alias("head")), "heads")
+        equal = by_table.join(heads, ["part", "fp"]).filter("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
+        links = near_links(heads.withColumnRenamed("head", "node"), budget).unionByName(equal)
     # A doc_id that is given to two texts would be a node twice: the smaller of the nodes it joins is right for both.
-    links = near_links(nodes.filter("node is not null"), budget)
     roots = connected_components(links)
-    classes = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = nodes.join(roots, "node", "left").select("fps", F.coalesce("root", "node").alias("component_id"))
+    return fps.join(classes, "fps", "left").select("doc_id", F.element_at("fps", 1).alias("fp"), "component_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:

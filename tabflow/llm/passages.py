@@ -275,7 +275,7 @@ def sorted_contexts(rows: DataFrame, length: int) -> DataFrame:
     return rows.repartition(width(rows.sparkSession), "k").sortWithinPartitions("k").mapInArrow(run, MARKS)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans array<struct<start,stop>>, kept binary) for every document.
 
     ``spans`` are the maximal removed runs, in bytes of the UTF-8 text, ``kept`` the other
@@ -283,9 +283,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     ``length`` bytes keep all.  Documents are ordered by ``common.with_row_ids``: rows
     that repeat a doc_id and a text are one document and each get its result; other rows
     with that doc_id are ordered by their texts' hashes, null ids come first.  ``length``
-    must be over GRAM.
+    must be over GRAM.  Columns of ``docs`` to ``keep`` return as they are.
     """
-    own, unique = with_row_ids(documents(docs, id_col, text_col))
+    own, unique = with_row_ids(documents(docs, id_col, text_col, keep))
     texts = own.select("rid", "text")
     if not unique:
         texts = texts.dropDuplicates(["rid"])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, settled
+from .common import documents, filtered, settled
 from .labelled import held_out, training_documents
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -227,3 +227,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def accept(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that score under ``threshold``, all columns as they are."""
+    return filtered(docs, text_col, lambda texts: [model.score(t) < threshold for t in texts])

@@ -99,8 +99,8 @@ def signed(x: int) -> int:
 def near_links(fps: DataFrame, budget: int = 2, limit: int = 2048) -> DataFrame:
     """Links (src, dst) that connect all fingerprints within ``budget`` differing bits.
 
-    ``fps`` has distinct ``fp`` (long) and a node id ``node`` (long).  Two fingerprints
-    within the budget agree on at least one of ``budget + 1`` blocks of bits, so the
+    ``fps`` has ``part`` (int), ``fp`` (long, distinct within a part) and a node id
+    ``node`` (long); parts are joined each with itself.  Two fingerprints within the budget agree on at least one of ``budget + 1`` blocks of bits, so the
     trie is cut into subtries by each block's value and every subtrie is joined with
     itself.  A subtrie of over ``limit`` leaves is cut again by blocks of its free
     bits, until all are smaller (distinct fingerprints end that); no leaf is dropped.
@@ -115,32 +115,36 @@ def near_links(fps: DataFrame, budget: int = 2, limit: int = 2048) -> DataFrame:
         children = F.create_map(*(x for m in sorted(masks) for x in (F.lit(signed(m)), F.array(*(F.lit(signed(c)) for c in split_mask(m, parts))))))
         pending = pending.withColumn("mask", F.explode(F.element_at(children, F.col("mask")))).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         masks = {c for m in masks for c in split_mask(m, parts)}
-        large = settled(pending.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("mask", "key"), "large")
+        large = settled(pending.groupBy("part", "mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("part", "mask", "key"), "large")
         if large.isEmpty() or all(m == (1 << 64) - 1 for m in masks):
             done.append(pending)
             break
-        done.append(pending.join(large, ["mask", "key"], "left_anti").select(*pending.columns))
-        pending = settled(pending.join(large, ["mask", "key"], "left_semi").select("fp", "node", "mask"), "subtries")
-    rows = reduce(DataFrame.unionByName, (d.select("mask", "key", "fp", "node") for d in done))
-    rows = rows.repartition(width(spark), "mask", "key").sortWithinPartitions("mask", "key", "fp")
+        done.append(pending.join(large, ["part", "mask", "key"], "left_anti").select(*pending.columns))
+        pending = settled(pending.join(large, ["part", "mask", "key"], "left_semi").select("part", "fp", "node", "mask"), "subtries")
+    rows = reduce(DataFrame.unionByName, (d.select("part", "mask", "key", "fp", "node") for d in done))
+    rows = rows.repartition(width(spark), "part", "mask", "key").sortWithinPartitions("part", "mask", "key", "fp")
+
+    def edges(t: pa.Table) -> np.ndarray:
+        """Rows after which another subtrie begins."""
+        columns = (t.column(c).to_numpy() for c in ("part", "mask", "key"))
+        return np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            mask, key, fp, node = (c.to_numpy() for c in t.columns)
-            new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(mask)]])
+            fp, node = (t.column(c).to_numpy() for c in ("fp", "node"))
+            new = edges(t) + 1
+            starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(fp)]])
             some = ends - starts > 1
             starts, ends = starts[some], ends[some]
             work = np.cumsum((ends - starts) ** 2)
-            # Signed longs sort below zero first: the sign bit is turned for unsigned order.
             bits = fp.view(np.uint64)
             lo = 0
             while lo < len(starts):
                 hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + AT_ONCE, "right")))
                 s, e = starts[lo:hi], ends[lo:hi]
                 base, top = s[0], e[-1]
-                part = bits[base:top] ^ np.uint64(1 << 63)
-                i, j = trie_pairs(part, s - base, e - base, budget)
+                # Signed longs sort below zero first: with the sign bit turned, unsigned order is the same.
+                i, j = trie_pairs(bits[base:top] ^ np.uint64(1 << 63), s - base, e - base, budget)
                 if len(i):
                     ids = node[base:top]
                     used = np.unique(np.concatenate([i, j]))
@@ -161,8 +165,7 @@ def near_links(fps: DataFrame, budget: int = 2, limit: int = 2048) -> DataFrame:
             if sum(x.num_rows for x in held) < 200_000:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
-            mask, key = t.column(0).to_numpy(), t.column(1).to_numpy()
-            edge = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))
+            edge = edges(t)
             if len(edge):
                 yield from joined(t.slice(0, edge[-1] + 1).combine_chunks())
                 held = t.slice(edge[-1] + 1).combine_chunks().to_batches()
