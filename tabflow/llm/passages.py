@@ -223,16 +223,28 @@ def contexts(asked: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_windows(k: np.ndarray, rid: np.ndarray, start: np.ndarray, n: np.ndarray, parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(rid, start, stop) of windows that an earlier context of the same anchor holds too."""
+    """(rid, start, stop) of windows that an earlier context of the same anchor holds too.
+
+    Equal windows have their anchor at the same place, so only windows with the same
+    anchor and the same distance to it are sorted against each other.
+    """
     data = np.frombuffer(b"".join(parts), np.uint8)
-    begin = np.cumsum([0, *map(len, parts[:-1])])
+    sizes = np.array([len(p) for p in parts])
+    begin = np.cumsum(sizes) - sizes
+    h = PrefixHashes(data, 0)
+    m = max(0, len(data) - GRAM + 1)
+    context = np.repeat(np.arange(len(n)), sizes)[:m]
+    met = np.flatnonzero(((h.sums[GRAM:] - h.sums[:m]) * h.inverse[:m]).view(np.int64) == k[context])
+    anchor = begin.copy()  # a window that stands alone has no anchor to look for
+    anchor[context[met][::-1]] = met[::-1]  # of several places the first is written last
     owner = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    # Windows by context in the order of documents, so that a stable sort puts the earliest of a class first.
-    by = np.lexsort((place, start[owner], rid[owner], k[owner]))
-    owner, place = owner[by], place[by]
-    blocks = np.cumsum(np.concatenate([[0], k[owner][1:] != k[owner][:-1]]))
-    order, classes = equal_classes(data, begin[owner] + place, blocks, length)
+    distance = anchor[owner] - begin[owner] - place
+    # In a block by the order of documents: a stable sort then puts the earliest of a class first.
+    by = np.lexsort((start[owner], rid[owner], distance, k[owner]))
+    owner, place, distance = owner[by], place[by], distance[by]
+    blocks = np.cumsum(np.concatenate([[0], (k[owner][1:] != k[owner][:-1]) | (distance[1:] != distance[:-1])]))
+    order, classes = equal_classes(data, begin[owner] + place, blocks, length, h)
     again = np.concatenate([[False], classes[1:] == classes[:-1]])
     found = order[again]
     s = start[owner[found]] + place[found]

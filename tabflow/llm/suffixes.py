@@ -110,13 +110,12 @@ def sort_suffixes(data: np.ndarray, h: PrefixHashes, suffixes: np.ndarray, block
     return order
 
 
-def equal_classes(data: np.ndarray, suffixes: np.ndarray, blocks: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def equal_classes(data: np.ndarray, suffixes: np.ndarray, blocks: np.ndarray, depth: int, h: PrefixHashes) -> tuple[np.ndarray, np.ndarray]:
     """(order, class number by place): suffixes of a block with equal first ``depth`` bytes share a class.
 
     Neighbours in sorted order that hashes call equal are compared byte by byte; a block
     with a collision is sorted again by its bytes.
     """
-    h = PrefixHashes(data, 0)
     order = sort_suffixes(data, h, suffixes, blocks, depth)
     s, b = suffixes[order], blocks[order]
     same = np.zeros(len(s), bool)
