@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import Aggregator
+from ..functions.sequencer import range_table, sequence_table
+from ..operators import pieces
+from ..operators.dataset import Dataset, Join, Order
+from ..operators.steps import Chain, Filter, Pivot, Source, Workspace
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,8 +30,24 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str) -> Dataset:
+    return Dataset(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def formulas(sf_table: str, key: str, columns: dict[str, tuple[str, str]]):
+    """Register-ready query and oracle: ``key`` and each column's (formula, SQL)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, sf_table).calculate({n: f for n, (f, _) in columns.items()}).select([key, *columns]).df
+
+    return run, f"SELECT {key}, " + ", ".join(f"{sql} AS {n}" for n, (_, sql) in columns.items()) + f" FROM {sf_table}"
+
+
+def register(name: str, pair: tuple[Query, str]) -> None:
+    QUERIES[name], ORACLE_SQL[name] = pair
+
+
+# --- the flagship -------------------------------------------------------------
 
 
 @query("""
@@ -35,10 +57,377 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02'
     GROUP BY l_returnflag, l_linestatus""")
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.to_timestamp_ntz(F.lit("1998-09-02 00:00:00")))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum("l_quantity").alias("sum_qty"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
-        F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
-        F.count(F.lit(1)).alias("count_order"),
+    """Filter, calculate, aggregate and round, all by formula."""
+    rows = table(spark, sf_dir, "lineitem").filter("[l_shipdate]<=DATE.UTC(1998;9;2)").calculate({"disc_price": "l_extendedprice*(1-l_discount)"})
+    grouped = rows.aggregate(
+        {"l_returnflag": "[l_returnflag]", "l_linestatus": "[l_linestatus]"},
+        {"sum_qty": Aggregator("[l_quantity]", "sum"), "sum_disc_price": Aggregator("[disc_price]", "sum"), "avg_price": Aggregator("[l_extendedprice]", "average"), "count_order": Aggregator("1", "countAll")},
     )
+    return grouped.calculate({"sum_disc_price": "ROUND(@;2)", "avg_price": "ROUND(@;4)"}).df
+
+
+# --- rows ---------------------------------------------------------------------
+
+
+@query("SELECT * FROM lineitem WHERE l_quantity * l_extendedprice > 500000 AND l_discount < 0.05")
+def filter_numeric(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").filter("AND(l_quantity*l_extendedprice>500000;l_discount<0.05)").df
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'wid')")
+def filter_contains(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter('p_name~="WID"').select(["p_partkey", "p_name"]).df
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'wid')")
+def filter_contains_strict(spark, sf_dir):
+    return table(spark, sf_dir, "part").filter('p_name~~="wid"').select(["p_partkey", "p_name"]).df
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE regexp_matches(c_name, '#0+[0-9]*7$') OR regexp_matches(c_mktsegment, '(?i)^auto')")
+def filter_regex(spark, sf_dir):
+    return table(spark, sf_dir, "customer").filter('OR(c_name±±="#0+[0-9]*7$";c_mktsegment±="^AUTO")').select(["c_custkey", "c_name"]).df
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority IN ('1-URGENT')")
+def filter_set(spark, sf_dir):
+    return pieces.filter_set(table(spark, sf_dir, "orders"), {"o_orderstatus": ["F", "O"], "o_orderpriority": ["1-URGENT"]}).df
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus NOT IN ('F') AND o_orderpriority NOT IN ('1-URGENT', '5-LOW')")
+def filter_set_inverse(spark, sf_dir):
+    return pieces.filter_set(table(spark, sf_dir, "orders"), {"o_orderstatus": ["F"], "o_orderpriority": ["1-URGENT", "5-LOW"]}, inverse=True).df
+
+
+@query("SELECT * FROM customer WHERE contains(lower(c_custkey::VARCHAR), '99') OR contains(lower(c_name), '99') OR contains(lower(c_nationkey::VARCHAR), '99') OR contains(lower(c_acctbal::VARCHAR), '99') OR contains(lower(c_mktsegment), '99')")
+def search_all_columns(spark, sf_dir):
+    return pieces.search(table(spark, sf_dir, "customer"), "99").df
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+def distinct_rows(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(["l_returnflag", "l_linestatus", "l_linenumber"]).distinct().df
+
+
+@query("SELECT DISTINCT lower(l_returnflag) || l_linestatus AS value FROM lineitem")
+def unique_expr(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").unique("LOWER(l_returnflag)&l_linestatus").df
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def sort_limit(spark, sf_dir):
+    return table(spark, sf_dir, "orders").sort([Order("o_totalprice", False), Order("o_orderkey")]).limit(100).select(["o_orderkey", "o_totalprice"]).df
+
+
+@query("SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 60) ORDER BY o_orderkey")
+def sort_text_key(spark, sf_dir):
+    return table(spark, sf_dir, "orders").sort([Order("o_orderpriority", numeric=False), Order("o_orderkey")]).limit(60).select(["o_orderkey", "o_totalprice"]).df
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50) ORDER BY o_orderkey LIMIT 43 OFFSET 7")
+def sort_limit_offset(spark, sf_dir):
+    """Take 50, then pass over 7 of them."""
+    return table(spark, sf_dir, "orders").sort([Order("o_orderkey")]).limit(50).offset(7).select(["o_orderkey"]).df
+
+
+@query("SELECT least(100, count(*)) AS n, least(100, count(*)) AS n_distinct FROM orders")
+def random_rows(spark, sf_dir):
+    """Exactly 100 rows, no row twice."""
+    picked = table(spark, sf_dir, "orders").random(100, seed=7)
+    return picked.aggregate({}, {"n": Aggregator("1", "countAll"), "n_distinct": Aggregator("o_orderkey", "countDistinct")}).df
+
+
+@query("SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, NULL AS supplier FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, s_suppkey FROM supplier")
+def union_by_name(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").rename({"c_name": "name", "c_acctbal": "balance", "c_mktsegment": "segment"}).select(["name", "balance", "segment"])
+    suppliers = table(spark, sf_dir, "supplier").rename({"s_name": "name", "s_acctbal": "balance", "s_suppkey": "supplier"}).select(["name", "balance", "supplier"])
+    return customers.union(suppliers).df
+
+
+# --- columns ------------------------------------------------------------------
+
+
+@query("SELECT o_totalprice * 2 AS o_totalprice, o_orderkey, o_totalprice - 1 AS less FROM orders")
+def calculate_simultaneous(spark, sf_dir):
+    """Both formulas see the row as it was; ``@`` is the cell's old value."""
+    return table(spark, sf_dir, "orders").calculate({"o_totalprice": "@*2", "less": "o_totalprice-1"}).select(["o_totalprice", "o_orderkey", "less"]).df
+
+
+@query("SELECT r_name AS name, r_regionkey AS key FROM region")
+def rename_move_columns(spark, sf_dir):
+    renamed = table(spark, sf_dir, "region").rename({"r_regionkey": "key", "R_NAME": "name"})
+    return pieces.move_columns(renamed, ["name"], "key").df
+
+
+register("case_if", formulas("orders", "o_orderkey", {
+    "band": ('IF(o_totalprice>200000;"high";IF(o_totalprice>100000;"middle";"low"))', "CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'low' END"),
+    "pick": ('CHOOSE(1+o_orderkey~3;"a";"b";"c")', "CASE o_orderkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END"),
+    "open": ('IN(o_orderstatus;"O";"P")', "o_orderstatus IN ('O', 'P')"),
+    "closed": ('NOT.IN(o_orderstatus;"O";"P")', "o_orderstatus NOT IN ('O', 'P')"),
+    "either": ('XOR(o_orderstatus="F";o_totalprice>100000)', "(o_orderstatus = 'F') <> (o_totalprice > 100000)"),
+    "neither": ('NOT(OR(o_orderstatus="F";o_totalprice>100000))', "NOT (o_orderstatus = 'F' OR o_totalprice > 100000)"),
+}))
+register("coalesce_iferror", formulas("events", "event_id", {
+    "safe": ("IFERROR(1000/(event_id~5);-1)", "CASE WHEN event_id % 5 = 0 THEN -1 ELSE 1000.0 / (event_id % 5) END"),
+    "known": ('COALESCE(1/(event_id~2);value)', "CASE WHEN event_id % 2 = 0 THEN value ELSE 1.0 END"),
+    "wrong": ("ISINVALID(SQRT(3-event_id))", "event_id > 3"),
+    "text_number": ('IFERROR("x"&event_id+1;0)', "'x' || (event_id + 1)::DOUBLE::VARCHAR"),
+    "not_a_number": ('ISINVALID(event_type*2)', "true"),
+    "empty": ("ISEMPTY(NULL)", "true"),
+}))
+
+
+# --- joins --------------------------------------------------------------------
+
+
+@query("SELECT c.*, n_nationkey, n_name, n_regionkey FROM customer c LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")
+def join_left(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").filter("n_regionkey<3")
+    return table(spark, sf_dir, "customer").join(Join(nations, "c_nationkey=#n_nationkey")).df
+
+
+@query("SELECT o.*, c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM orders o JOIN customer ON o_custkey = c_custkey")
+def join_inner(spark, sf_dir):
+    return table(spark, sf_dir, "orders").join(Join(table(spark, sf_dir, "customer"), "[o_custkey]=#[c_custkey]", "inner")).df
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, r_regionkey, r_name FROM nation LEFT JOIN region ON n_regionkey < r_regionkey")
+def join_theta(spark, sf_dir):
+    return table(spark, sf_dir, "nation").join(Join(table(spark, sf_dir, "region"), "n_regionkey<#r_regionkey")).df
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON lower(right(c_name, 4)) = lower(right(s_name, 4)) AND c_acctbal > s_acctbal")
+def join_expr_key(spark, sf_dir):
+    """An equality between formulas, with a further condition: still a hash or merge join."""
+    joined = table(spark, sf_dir, "customer").join(Join(table(spark, sf_dir, "supplier"), "AND(LOWER(RIGHT(c_name;4))=LOWER(RIGHT(#s_name;4));c_acctbal>#s_acctbal)", "inner"))
+    return joined.select(["c_custkey", "s_suppkey"]).df
+
+
+@query("SELECT r_regionkey, r_name, n.c AS r_name_A FROM region JOIN (SELECT n_regionkey, count(*) AS c FROM nation GROUP BY 1) n ON r_regionkey = n_regionkey")
+def join_column_clash(spark, sf_dir):
+    """Right columns that the left has by name (in any case) do not come along."""
+    counts = table(spark, sf_dir, "nation").aggregate({"R_REGIONKEY": "[n_regionkey]"}, {"r_name_A": Aggregator("1", "countAll")})
+    return table(spark, sf_dir, "region").join(Join(counts, "r_regionkey=#r_regionkey", "inner")).df
+
+
+# --- aggregation --------------------------------------------------------------
+
+
+@query("""SELECT l_returnflag AS flag, sum(l_quantity) AS total, round(avg(l_discount), 8) AS mean, min(l_extendedprice) AS low, max(l_extendedprice) AS high,
+    count(l_tax) AS numbers, count(*) AS cells, count(DISTINCT l_suppkey) AS suppliers, min(l_shipdate)::VARCHAR AS first_day
+    FROM lineitem GROUP BY 1""")
+def agg_all_reducers(spark, sf_dir):
+    a = lambda f, r: Aggregator(f, r)
+    grouped = table(spark, sf_dir, "lineitem").aggregate({"flag": "l_returnflag"}, {
+        "total": a("l_quantity", "sum"), "mean": a("l_discount", "average"), "low": a("l_extendedprice", "min"), "high": a("l_extendedprice", "max"),
+        "numbers": a("l_tax", "count"), "cells": a("l_tax", "countAll"), "suppliers": a("l_suppkey", "countDistinct"), "first_day": a("l_shipdate", "min"),
+    })
+    return grouped.calculate({"mean": "ROUND(@;8)", "first_day": 'WRITE.DATE(@;"yyyy-MM-dd HH:mm:ss")'}).df
+
+
+@query("SELECT l_linenumber AS line, median(l_extendedprice) AS middle, quantile_disc(l_extendedprice, 0.5) AS low, -quantile_disc(-l_extendedprice, 0.5) AS high FROM lineitem GROUP BY 1")
+def agg_median_family(spark, sf_dir):
+    a = lambda r: Aggregator("l_extendedprice", r)
+    return table(spark, sf_dir, "lineitem").aggregate({"line": "l_linenumber"}, {"middle": a("median"), "low": a("medianLow"), "high": a("medianHigh")}).df
+
+
+@query("""SELECT r, CASE WHEN n % 2 = 0 THEN lo || ',' || hi ELSE lo END AS middles FROM (SELECT n_regionkey AS r, count(*) AS n,
+    quantile_disc(n_nationkey, 0.5)::DOUBLE::VARCHAR AS lo, (-quantile_disc(-n_nationkey, 0.5))::DOUBLE::VARCHAR AS hi FROM nation GROUP BY 1)""")
+def agg_median_pack(spark, sf_dir):
+    return table(spark, sf_dir, "nation").aggregate({"r": "n_regionkey"}, {"middles": Aggregator("n_nationkey", "medianPack")}).df
+
+
+@query("""SELECT l_returnflag AS flag, round(var_pop(l_quantity), 6) AS vp, round(var_samp(l_quantity), 6) AS vs, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss FROM lineitem GROUP BY 1""")
+def agg_variance_family(spark, sf_dir):
+    a = lambda r: Aggregator("l_quantity", r)
+    grouped = table(spark, sf_dir, "lineitem").aggregate({"flag": "l_returnflag"}, {"vp": a("variancePopulation"), "vs": a("varianceSample"), "sp": a("stdevPopulation"), "ss": a("stdevSample")})
+    return grouped.calculate({c: "ROUND(@;6)" for c in ("vp", "vs", "sp", "ss")}).df
+
+
+@query("""SELECT n_regionkey AS r, string_agg(n_name, '' ORDER BY n_nationkey) AS names, string_agg(replace(replace(n_name, '$', '$1'), ',', '$0'), ',' ORDER BY n_nationkey) AS packed,
+    string_agg(n_name, '|' ORDER BY n_nationkey) AS listed FROM nation GROUP BY 1""")
+def agg_pack_concat(spark, sf_dir):
+    by = ("n_nationkey",)
+    grouped = table(spark, sf_dir, "nation").aggregate({"r": "n_regionkey"}, {"names": Aggregator("n_name", "concat", order=by), "packed": Aggregator("n_name", "pack", order=by), "listed": Aggregator("n_name", "list", order=by)})
+    return grouped.calculate({"listed": 'GLUE(@;"|")'}).df
+
+
+@query("SELECT c_nationkey AS nation, CASE WHEN count(c_acctbal) >= 60 THEN sum(c_acctbal) END AS total FROM customer GROUP BY 1")
+def agg_min_cell(spark, sf_dir):
+    """Groups of under 60 stay hidden."""
+    return table(spark, sf_dir, "customer").aggregate({"nation": "c_nationkey"}, {"total": Aggregator("c_acctbal", "sum", minimum_count=60)}).df
+
+
+@query("SELECT count(*) AS n, sum(o_totalprice) AS total FROM orders")
+def agg_total(spark, sf_dir):
+    return table(spark, sf_dir, "orders").aggregate({}, {"n": Aggregator("1", "countAll"), "total": Aggregator("o_totalprice", "sum")}).df
+
+
+@query("SELECT upper(substr(o_orderpriority, 1, 1)) AS first, year(o_orderdate)::BIGINT AS year, count(*) AS n FROM orders GROUP BY 1, 2")
+def agg_group_expr(spark, sf_dir):
+    return table(spark, sf_dir, "orders").aggregate({"first": "UPPER(LEFT(o_orderpriority;1))", "year": "YEAR.UTC(o_orderdate)"}, {"n": Aggregator("1", "countAll")}).df
+
+
+# --- running aggregates -------------------------------------------------------
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")
+def rank_row_number(spark, sf_dir):
+    return table(spark, sf_dir, "orders").rank({"place": Aggregator("1", "countAll")}, [Order("o_totalprice"), Order("o_orderkey")]).select(["o_orderkey", "place"]).df
+
+
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS total, min(o_totalprice) OVER w AS low, max(o_totalprice) OVER w AS high FROM orders WINDOW w AS (ORDER BY o_orderkey DESC ROWS UNBOUNDED PRECEDING)")
+def running_sum(spark, sf_dir):
+    values = {"total": Aggregator("o_totalprice", "sum"), "low": Aggregator("o_totalprice", "min"), "high": Aggregator("o_totalprice", "max")}
+    return table(spark, sf_dir, "orders").rank(values, [Order("o_orderkey", False)]).calculate({"total": "ROUND(@;2)"}).select(["o_orderkey", "total", "low", "high"]).df
+
+
+@query("SELECT o_orderkey, round(avg(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 4) AS mean FROM orders")
+def running_avg(spark, sf_dir):
+    return table(spark, sf_dir, "orders").rank({"mean": Aggregator("o_totalprice", "average")}, [Order("o_orderdate"), Order("o_orderkey")]).calculate({"mean": "ROUND(@;4)"}).select(["o_orderkey", "mean"]).df
+
+
+@query("SELECT n_nationkey, median(n_regionkey) OVER w AS middle, round(var_samp(n_regionkey) OVER w, 8) AS spread FROM nation WINDOW w AS (ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING)")
+def running_median(spark, sf_dir):
+    values = {"middle": Aggregator("n_regionkey", "median"), "spread": Aggregator("n_regionkey", "varianceSample")}
+    return table(spark, sf_dir, "nation").rank(values, [Order("n_nationkey")]).calculate({"spread": "ROUND(@;8)"}).select(["n_nationkey", "middle", "spread"]).df
+
+
+# --- shape --------------------------------------------------------------------
+
+
+@query("""SELECT o_orderpriority, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS F_total, sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS O_total,
+    sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS P_total FROM orders GROUP BY 1""")
+def pivot_sum(spark, sf_dir):
+    chain = Chain([Source("parquet", {"path": f"{sf_dir}/orders.parquet"}), Pivot(["o_orderpriority"], ["o_orderstatus"], {"total": {"formula": "o_totalprice", "reducer": "sum"}})])
+    return Workspace({"p": chain}).full(spark, "p").calculate({}).df
+
+
+@query("""SELECT l_returnflag, """ + ", ".join(f"{f}(CASE WHEN l_linestatus = '{s}' AND l_linenumber = {n} THEN l_quantity END) AS \"{s}_{n}_{name}\"" for s in "FO" for n in (1, 2) for name, f in (("n", "count"), ("most", "max"))) + " FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1")
+def pivot_two_values(spark, sf_dir):
+    """Two horizontal columns, two values for each cell."""
+    chain = Chain([
+        Source("parquet", {"path": f"{sf_dir}/lineitem.parquet"}), Filter("l_linenumber<=2"),
+        Pivot(["l_returnflag"], ["l_linestatus", "l_linenumber"], {"n": {"formula": "l_quantity", "reducer": "count"}, "most": {"formula": "l_quantity", "reducer": "max"}}),
+    ])
+    counts = [f"{s}_{n}_n" for s in "FO" for n in (1, 2)]
+    return Workspace({"p": chain}).full(spark, "p").calculate({c: "COALESCE(@;0)" for c in counts}).df
+
+
+@query("SELECT n_nationkey AS id, c AS cell, x AS value FROM (SELECT n_nationkey, n_nationkey::VARCHAR AS n_nationkey_, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation) t, LATERAL (VALUES ('n_nationkey', n_nationkey_), ('n_name', n_name), ('n_regionkey', n_regionkey)) v(c, x)")
+def flatten_cells(spark, sf_dir):
+    return table(spark, sf_dir, "nation").flatten("value", "cell", "[n_nationkey]", "id").df
+
+
+@query("""SELECT 'n' AS A, max(n) FILTER (r = 0) AS "0", max(n) FILTER (r = 1) AS "1", max(n) FILTER (r = 2) AS "2", max(n) FILTER (r = 3) AS "3", max(n) FILTER (r = 4) AS "4" FROM (SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1)""")
+def transpose_small(spark, sf_dir):
+    counts = table(spark, sf_dir, "nation").aggregate({"r": "n_regionkey"}, {"n": Aggregator("1", "countAll")}).sort([Order("r")])
+    return counts.transpose().df
+
+
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS p_name FROM part")
+def explode_vertical(spark, sf_dir):
+    return pieces.explode_down(table(spark, sf_dir, "part").select(["p_partkey", "p_name"]), "p_name", "separator", " ").df
+
+
+@query("SELECT p_partkey, string_split(p_name, ' ')[1] AS first, string_split(p_name, ' ')[2] AS second, string_split(p_name, ' ')[3] AS third FROM part")
+def explode_horizontal(spark, sf_dir):
+    return pieces.explode_across(table(spark, sf_dir, "part").select(["p_partkey", "p_name"]), "p_name", ["first", "second", "third"], "separator", " ").df
+
+
+@query("""SELECT o_orderkey, o_orderstatus, o_orderstatus = 'F' AS "o_orderstatus_F", o_orderstatus = 'O' AS "o_orderstatus_O", o_orderstatus = 'P' AS "o_orderstatus_P" FROM orders""")
+def dummies(spark, sf_dir):
+    return pieces.dummies(table(spark, sf_dir, "orders").select(["o_orderkey", "o_orderstatus"]), "o_orderstatus").df
+
+
+# --- functions ----------------------------------------------------------------
+
+register("string_functions", formulas("part", "p_partkey", {
+    "f_upper": ("UPPER(p_name)", "upper(p_name)"), "f_lower": ("LOWER(p_brand)", "lower(p_brand)"), "f_left": ("LEFT(p_name;3)", "left(p_name, 3)"),
+    "f_left_long": ("LEFT(p_name;1000)", "NULL::VARCHAR"), "f_right": ("RIGHT(p_name;3)", "right(p_name, 3)"), "f_mid": ("MID(p_name;2;4)", "substr(p_name, 3, 4)"),
+    "f_length": ("LENGTH(p_type)", "length(p_type)"), "f_trim": ('TRIM("  "&p_name&" ")', "p_name"), "f_concat": ('CONCAT(p_name;"-";p_size)', "p_name || '-' || p_size"),
+    "f_amp": ('p_name&"/"&p_size', "p_name || '/' || p_size"), "f_replace": ('REPLACE(p_name;"e";"E")', "replace(p_name, 'e', 'E')"),
+    "f_pattern": ('REPLACE.PATTERN(p_name;"[aeiou]+";"*")', "regexp_replace(p_name, '[aeiou]+', '*', 'g')"), "f_similar": ("SIMILARITY(p_name;p_type)", "levenshtein(p_name, p_type)"),
+    "f_number": ('READ.NUMBER(p_size&".250,5";",";".")', "p_size * 1000 + 250.5"), "f_url": ('ENCODEURL(p_name&"%/x")', "replace(p_name, ' ', '%20') || '%25/x'"),
+    "f_sum": ("SUM(p_size;p_retailprice)", "p_size + p_retailprice"), "f_proper": ('PROPER("van DER vorst")', "'Van Der Vorst'"),
+}))
+register("math_functions", formulas("lineitem", "l_orderkey", {
+    "line": ("l_linenumber+0", "l_linenumber::DOUBLE"),
+    "f_abs": ("ABS(0-l_quantity)", "l_quantity"), "f_sign": ("SIGN(l_discount-0.05)", "sign(l_discount - 0.05)::BIGINT"), "f_sqrt": ("ROUND(SQRT(l_extendedprice);6)", "round(sqrt(l_extendedprice), 6)"),
+    "f_exp": ("ROUND(EXP(l_discount);9)", "round(exp(l_discount), 9)"), "f_ln": ("ROUND(LN(l_extendedprice);9)", "round(ln(l_extendedprice), 9)"), "f_log": ("ROUND(LOG(l_extendedprice);9)", "round(log10(l_extendedprice), 9)"),
+    "f_log2": ("ROUND(LOG(l_extendedprice;2);9)", "round(ln(l_extendedprice) / ln(2), 9)"), "f_power": ("POWER(l_linenumber;2)", "power(l_linenumber, 2)"), "f_caret": ("l_linenumber^3", "power(l_linenumber, 3)"),
+    "f_round": ("ROUND(l_quantity/4)", "round(l_quantity / 4)::BIGINT"), "f_floor": ("FLOOR(l_extendedprice)", "floor(l_extendedprice)"), "f_ceiling": ("CEILING(l_extendedprice)", "ceil(l_extendedprice)"),
+    "f_mod": ("l_quantity~7", "l_quantity % 7"), "f_div": ("l_quantity/(l_linenumber-1)", "CASE WHEN l_linenumber > 1 THEN l_quantity / (l_linenumber - 1) END"),
+    "f_sin": ("ROUND(SIN(l_quantity);9)", "round(sin(l_quantity), 9)"), "f_cos": ("ROUND(COS(l_quantity);9)", "round(cos(l_quantity), 9)"), "f_atan": ("ROUND(ATAN(l_quantity);9)", "round(atan(l_quantity), 9)"),
+    "f_acos": ("ROUND(ACOS(l_discount*20);7)", "CASE WHEN l_discount * 20 <= 1 THEN round(acos(l_discount * 20), 7) END"), "f_tanh": ("ROUND(TANH(l_discount);9)", "round(tanh(l_discount), 9)"),
+    "f_min": ("MIN(l_quantity;l_linenumber)", "least(l_quantity, l_linenumber)"), "f_max": ("MAX(l_quantity;l_linenumber)", "greatest(l_quantity, l_linenumber)"),
+    "f_avg": ("AVERAGE(l_quantity;l_linenumber)", "(l_quantity + l_linenumber) / 2"), "f_up": ("POWER.UP(l_quantity;2)", "power(2, greatest(1, ceil(log2(l_quantity))))::BIGINT"), "f_down": ("POWER.DOWN(l_quantity;2)", "power(2, floor(log2(l_quantity)))::BIGINT"),
+}))
+register("date_functions", formulas("orders", "o_orderkey", {
+    "f_year": ("YEAR.UTC(o_orderdate)", "year(o_orderdate)"), "f_month": ("MONTH.UTC(o_orderdate)", "month(o_orderdate)"), "f_day": ("DAY.UTC(o_orderdate)", "day(o_orderdate)"),
+    "f_hour": ("HOUR.UTC(AFTER(o_orderdate;3600*5))", "hour(o_orderdate + INTERVAL 5 HOUR)"), "f_minute": ("MINUTE.UTC(AFTER(o_orderdate;61))", "minute(o_orderdate + INTERVAL 61 SECOND)"), "f_second": ("SECOND.UTC(AFTER(o_orderdate;61))", "second(o_orderdate + INTERVAL 61 SECOND)"),
+    "f_unix": ("TO.UNIX(o_orderdate)", "epoch(o_orderdate)"), "f_back": ("TO.ISO8601.UTC(FROM.UNIX(TO.UNIX(o_orderdate)))", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')"),
+    "f_excel": ("TO.EXCELDATE(o_orderdate)", "epoch(o_orderdate) / 86400 + 25569"), "f_iso": ("TO.ISO8601.UTC(DATE.UTC(YEAR.UTC(o_orderdate);14;1))", "(year(o_orderdate) + 1)::VARCHAR || '-02-01T00:00:00Z'"),
+    "f_write": ('WRITE.DATE(o_orderdate;"dd/MM/yyyy")', "strftime(o_orderdate, '%d/%m/%Y')"), "f_read": ('TO.UNIX(READ.DATE(WRITE.DATE(o_orderdate;"yyyyMMdd");"yyyyMMdd"))', "epoch(date_trunc('day', o_orderdate))"),
+    "f_duration": ("DURATION(DATE.UTC(1990;1;1);o_orderdate)", "epoch(o_orderdate) - epoch(TIMESTAMP '1990-01-01')"), "f_from": ('TO.UNIX(FROM.ISO8601("2020-02-29T12:00:00+02:00"))', "1582970400.0::DOUBLE"),
+}))
+register("list_functions", formulas("part", "p_partkey", {
+    "f_items": ('ITEMS(SPLIT(p_name;" "))', "len(string_split(p_name, ' '))"), "f_nth": ('SPLIT(p_name;" ")[2]', "string_split(p_name, ' ')[2]"), "f_glue": ('GLUE(SPLIT(p_name;" ");"+")', "replace(p_name, ' ', '+')"),
+    "f_pack": ('PACK({p_name;"a,b$c"})', "p_name || ',a$0b$1c'"), "f_unpack": ('UNPACK("x$0y,"&p_name)[1]', "'x,y'"), "f_key": ('{"size";p_size;"name";p_name}->"name"', "p_name"),
+    "f_append": ("ITEMS(APPEND({1;2};p_size))", "3"), "f_append_list": ("APPEND.LIST({1;2};{p_size})[3]", "p_size::BIGINT"), "f_out": ("ISINVALID({1;2}[3])", "true"),
+    "f_values": ("PACK.VALUES(p_size;p_name)", "p_size || ',' || p_name"), "f_json": ("TO.JSON({p_size;1})", "'[' || p_size || ',1]'"),
+}))
+register("json_functions", formulas("events", "event_id", {
+    "k": ('FROM.JSON(props)->"k"&""', "json_extract_string(props, '$.k')"), "missing": ('ISINVALID(FROM.JSON(props)->"none")', "true"), "doubled": ('READ.NUMBER(FROM.JSON(props)->"k"&"")*2', "json_extract_string(props, '$.k')::DOUBLE * 2"),
+}))
+register("blob_functions", formulas("part", "p_partkey", {
+    "f_base64": ('BASE64.ENCODE(ENCODE(p_name;"UTF-8"))', "base64(encode(p_name))"), "f_hex": ('HEX.ENCODE(ENCODE(p_name;"UTF-8"))', "lower(hex(encode(p_name)))"), "f_size": ('SIZE.OF(ENCODE(p_name;"UTF-16BE"))', "2 * length(p_name)"),
+    "f_round_trip": ('DECODE(HEX.DECODE(HEX.ENCODE(ENCODE(p_name;"UTF-8")));"UTF-8")', "p_name"), "f_text": ('DECODE(BASE64.DECODE("aGk=");"UTF-8")', "'hi'"),
+}))
+register("hilbert", formulas("part", "p_partkey", {
+    "d": ("HILBERT.D(2;p_size~2;FLOOR(p_size/2)~2)", "CASE WHEN p_size % 2 = 0 AND (p_size // 2) % 2 = 0 THEN 0 WHEN p_size % 2 = 0 THEN 1 WHEN (p_size // 2) % 2 = 1 THEN 2 ELSE 3 END"),
+    "back": ("HILBERT.D(64;HILBERT.X(64;p_partkey~4096);HILBERT.Y(64;p_partkey~4096))", "p_partkey % 4096"),
+}))
+register("norm_inv", formulas("customer", "c_custkey", {
+    "z": ("ROUND(NORM.INV(0.5;c_custkey;1);6)", "round(c_custkey, 6)::DOUBLE"), "z975": ("ROUND(NORM.INV(0.975;0;1);6)", "1.959964"), "z001": ("ROUND(NORM.INV(0.001;0;1);6)", "-3.090232"), "none": ("ISINVALID(NORM.INV(2;0;1))", "true"),
+}))
+register("argument_reducers", formulas("part", "p_partkey", {
+    "f_count": ('COUNT(p_size;p_name;"12";NULL)', "2"), "f_counta": ('COUNTA(p_size;p_name;"12";NULL)', "4"), "f_distinct": ("COUNTDISTINCT(p_size;p_size;p_name)", "2"),
+    "f_median": ("MEDIAN(p_size;1;2;100)", "list_median([p_size, 1, 2, 100])"), "f_low": ("MEDIAN.LOW(p_size;1;2;100)", "list_sort([p_size, 1, 2, 100])[2]::DOUBLE"), "f_high": ("MEDIAN.HIGH(p_size;1;2;100)", "list_sort([p_size, 1, 2, 100])[3]::DOUBLE"),
+    "f_var": ("ROUND(VAR.S(p_size;1;2);6)", "round(list_var_samp([p_size, 1, 2]), 6)"), "f_stdev": ("ROUND(STDEV.P(p_size;1;2);6)", "round(list_stddev_pop([p_size, 1, 2]), 6)"),
+}))
+
+
+# --- profiles and sequences ---------------------------------------------------
+
+
+@query("""SELECT round(avg(l_quantity), 8) AS average, round(stddev_samp(l_quantity), 8) AS stdev, min(l_quantity) AS minimum, max(l_quantity) AS maximum, count(*) AS cells,
+    count(DISTINCT l_quantity) AS "distinct", count(*) FILTER (l_quantity IS NULL) AS "empty" FROM lineitem""")
+def column_profile(spark, sf_dir):
+    return pieces.column_profile(table(spark, sf_dir, "lineitem"), "l_quantity").calculate({"average": "ROUND(@;8)", "stdev": "ROUND(@;8)"}).df
+
+
+@query("SELECT l_linenumber * 10.0::DOUBLE AS value, count(*) AS count FROM lineitem GROUP BY 1")
+def histogram(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").histogram("l_linenumber*10").df
+
+
+@query("SELECT event_type AS value, count(*) AS count FROM events WHERE regexp_matches(event_type, 'c') GROUP BY 1")
+def frequencies(spark, sf_dir):
+    return pieces.frequencies(table(spark, sf_dir, "events"), "event_type", "c").df
+
+
+@query("SELECT o_orderkey::DOUBLE AS x, o_totalprice / 1000 AS y FROM orders")
+def chart_data(spark, sf_dir):
+    return pieces.chart_data(table(spark, sf_dir, "orders"), x="o_orderkey+0", y="o_totalprice/1000").df
+
+
+@query("SELECT i AS n FROM range(5, 2001) t(i)")
+def sequence_range(spark, sf_dir):
+    return range_table(spark, 5, 2000, "n")
+
+
+@query("""SELECT a || b || c AS code FROM (VALUES ('A'), ('B'), ('C'), ('D')) x(a), (SELECT i::VARCHAR AS b FROM range(10) t(i)), (VALUES (''), ('x')) y(c)
+    UNION ALL SELECT 'Z' || i FROM range(10) t(i)""")
+def sequence_pattern(spark, sf_dir):
+    return sequence_table(spark, "([A-D][0-9](x)?)|(Z[0-9])", "code")
