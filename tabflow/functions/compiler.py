@@ -94,7 +94,9 @@ def equality(a: Val, b: Val, strict: bool = False) -> Column:
         out = a.value.isNull() & b.value.isNull()
     else:
         kinds = {a.kind, b.kind}
-        if len(kinds) == 1:
+        if kinds == {TIME} and (a.raw is not None or b.raw is not None):
+            x, y = v.without_zone(a), v.without_zone(b)
+        elif len(kinds) == 1:
             x, y = a.value, b.value
         elif kinds <= {DOUBLE, LONG, BOOL} or kinds & {DOUBLE, LONG, BOOL} and TEXT in kinds:
             x, y = v.number(a), v.number(b)
@@ -111,8 +113,17 @@ def equality(a: Val, b: Val, strict: bool = False) -> Column:
     return out if flag is None else F.when(flag, False).otherwise(out)
 
 
+def conjuncts(node: Node) -> list[Node]:
+    """The conditions that all hold where the node does: those that its ANDs join."""
+    if isinstance(node, Call) and node.function == "and":
+        return [c for a in node.args for c in conjuncts(a)]
+    return [node]
+
+
 def compare(op: str, a: Val, b: Val, strict: bool) -> Val:
-    if not strict and a.kind == b.kind and a.kind in (TEXT, TIME, BOOL):
+    if not strict and a.kind == b.kind == TIME and (a.raw is not None or b.raw is not None):
+        x, y = v.without_zone(a), v.without_zone(b)
+    elif a.kind == b.kind == LONG or not strict and a.kind == b.kind and a.kind in (TEXT, TIME, BOOL):
         x, y = a.column(), b.column()
     elif not strict and {a.kind, b.kind} == {TIME, TEXT}:
         # A text beside a time is read as one.
@@ -321,8 +332,11 @@ def _random_between(ctx, low, high):
 
 @function("randomItem", 1, ANY)
 def _random_item(ctx, *args):
-    pick = Val(1 + F.floor(F.rand() * len(args)), None, LONG)
-    return _choose(ctx, pick, *args)
+    # One draw for each row: a condition by argument would draw again for each.
+    kind = v.common_kind(list(args))
+    array = F.array(*(F.struct(v.as_kind(x, kind, ctx.strict).alias("value"), x.flag.alias("invalid")) for x in args))
+    item = F.element_at(array, (1 + F.floor(F.rand() * len(args))).cast("int"))
+    return Val(F.struct(item.alias("item"))["item"]["value"], None, kind)
 
 
 # The coefficients of a published rational approximation of the normal quantile.

@@ -24,7 +24,9 @@ class Val:
     """A column, the column that says whether it is invalid (None: never), and its kind.
 
     ``item`` is the kind of a list's items; ``parts`` holds a list's items where they
-    are known one by one.  A null in ``value`` that is not invalid is empty.
+    are known one by one.  A null in ``value`` that is not invalid is empty; with
+    ``nulls``, every null is invalid and every invalid null.  ``raw`` is a table's own
+    column where ``value`` is computed from it: conditions on it reach the scan.
     """
 
     value: Column
@@ -33,6 +35,8 @@ class Val:
     item: str = TEXT
     parts: tuple[Val, ...] | None = None
     constant: object = None
+    nulls: bool = False
+    raw: Column | None = None
 
     @property
     def flag(self) -> Column:
@@ -40,7 +44,7 @@ class Val:
 
     def column(self) -> Column:
         """What a table holds: null for invalid."""
-        return self.value if self.invalid is None else F.when(~self.invalid, self.value)
+        return self.value if self.invalid is None or self.nulls else F.when(~self.invalid, self.value)
 
 
 def kind_of(data_type: T.DataType) -> tuple[str, str]:
@@ -68,6 +72,7 @@ def kind_of(data_type: T.DataType) -> tuple[str, str]:
 def from_column(column: Column, data_type: T.DataType) -> Val:
     """A table's column: never invalid.  Numbers become long or double, times get the zone UTC."""
     kind, item = kind_of(data_type)
+    raw = column if isinstance(data_type, T.TimestampNTZType) else None
     match kind:
         case "double":
             column = column.cast("double")
@@ -79,7 +84,7 @@ def from_column(column: Column, data_type: T.DataType) -> Val:
             column = column.cast("string")
         case "string" if not isinstance(data_type, T.StringType):
             column = column.cast("string")
-    return Val(column, None, kind, item)
+    return Val(column, None, kind, item, raw=raw)
 
 
 def utc(column: Column) -> Column:
@@ -87,6 +92,13 @@ def utc(column: Column) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column.cast("timestamp_ntz")))
 
 
+def without_zone(x: Val) -> Column:
+    """A time as the clock in UTC shows it, without a zone: the table's own column if it is one."""
+    if x.raw is not None:
+        return x.raw
+    return F.timestamp_add("MICROSECOND", F.unix_micros(x.column()), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def constant(value: object) -> Val:
     """A literal; None is empty."""
     match value:
@@ -112,7 +124,7 @@ def invalid() -> Val:
 
 def need(value: Column, kind: str, item: str = TEXT) -> Val:
     """A result for which null means invalid: what a function gives that lacks an argument."""
-    return Val(value, value.isNull(), kind, item)
+    return Val(value, value.isNull(), kind, item, nulls=True)
 
 
 def number(x: Val) -> Column:
@@ -130,7 +142,7 @@ def number(x: Val) -> Column:
             out = F.when(~F.isnan(out) & (F.abs(out) != float("inf")), out)
         case _:
             return F.lit(None).cast("double")
-    return out if x.invalid is None else F.when(~x.invalid, out)
+    return out if x.invalid is None or x.nulls else F.when(~x.invalid, out)
 
 
 def integer(x: Val) -> Column:
@@ -146,7 +158,7 @@ def integer(x: Val) -> Column:
             out = F.when(x.value.rlike(r"^[+-]?[0-9]+$"), x.value.try_cast("long"))
         case _:
             return F.lit(None).cast("long")
-    return out if x.invalid is None else F.when(~x.invalid, out)
+    return out if x.invalid is None or x.nulls else F.when(~x.invalid, out)
 
 
 def truth(x: Val) -> Column:
@@ -158,7 +170,7 @@ def truth(x: Val) -> Column:
             out = integer(x) == 1
         case _:
             return F.lit(None).cast("boolean")
-    return out if x.invalid is None else F.when(~x.invalid, out)
+    return out if x.invalid is None or x.nulls else F.when(~x.invalid, out)
 
 
 def iso(time: Column) -> Column:
@@ -183,14 +195,14 @@ def text(x: Val, strict: bool = False) -> Column:
             out = F.try_variant_get(x.value, "$", "string")
         case _:
             return F.lit(None).cast("string")
-    return out if x.invalid is None else F.when(~x.invalid, out)
+    return out if x.invalid is None or x.nulls else F.when(~x.invalid, out)
 
 
 def time(x: Val) -> Column:
     """The value as timestamp, if it is one."""
     if x.kind != TIME:
         return F.lit(None).cast("timestamp")
-    return x.value if x.invalid is None else F.when(~x.invalid, x.value)
+    return x.column()
 
 
 def either(*flags: Column | None) -> Column | None:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import values as v
 from ..functions.aggregates import Aggregator, over_groups
-from ..functions.compiler import Context, compile_formula, compile_node, context, quoted
+from ..functions.compiler import Context, compile_formula, compile_node, conjuncts, context, quoted
 from ..functions.formula import FormulaError, Node, columns_of, parse
 from .names import default_name, new_name
 
@@ -73,10 +73,15 @@ class Dataset:
     # rows
 
     def filter(self, formula: str | Node) -> Dataset:
-        """Rows for which the formula is true: TRUE, 1 or "1"; empty and invalid are not."""
-        x = self._value(formula)
-        holds = v.truth(x) if x.kind in (v.BOOL, v.LONG, v.TEXT) else v.number(x) == 1
-        return self._with(self.df.filter(F.coalesce(holds, F.lit(False)) if x.kind != v.BOOL or x.invalid is not None else holds))
+        """Rows for which the formula is true: TRUE, 1 or "1"; empty and invalid are not.
+
+        Conditions that ANDs join are filters of their own, so each can reach the scan.
+        """
+        df = self.df
+        for part in conjuncts(self._tree(formula)):
+            x = self._value(part)
+            df = df.filter(v.truth(x) if x.kind in (v.BOOL, v.LONG, v.TEXT) else v.number(x) == 1)
+        return self._with(df)
 
     def limit(self, n: int) -> Dataset:
         return self._with(self.df.limit(n))

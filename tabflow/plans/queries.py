@@ -389,7 +389,7 @@ register("hilbert", formulas("part", "p_partkey", {
     "back": ("HILBERT.D(64;HILBERT.X(64;p_partkey~4096);HILBERT.Y(64;p_partkey~4096))", "p_partkey % 4096"),
 }))
 register("norm_inv", formulas("customer", "c_custkey", {
-    "z": ("ROUND(NORM.INV(0.5;c_custkey;1);6)", "round(c_custkey, 6)::DOUBLE"), "z975": ("ROUND(NORM.INV(0.975;0;1);6)", "1.959964"), "z001": ("ROUND(NORM.INV(0.001;0;1);6)", "-3.090232"), "none": ("ISINVALID(NORM.INV(2;0;1))", "true"),
+    "z": ("ROUND(NORM.INV(0.5;c_custkey;1);6)", "round(c_custkey, 6)::DOUBLE"), "z975": ("ROUND(NORM.INV(0.975;0;1);6)", "1.959964::DOUBLE"), "z001": ("ROUND(NORM.INV(0.001;0;1);6)", "-3.090232::DOUBLE"), "none": ("ISINVALID(NORM.INV(2;0;1))", "true"),
 }))
 register("argument_reducers", formulas("part", "p_partkey", {
     "f_count": ('COUNT(p_size;p_name;"12";NULL)', "2"), "f_counta": ('COUNTA(p_size;p_name;"12";NULL)', "4"), "f_distinct": ("COUNTDISTINCT(p_size;p_size;p_name)", "2"),

@@ -120,7 +120,8 @@ def write_xml(df: DataFrame, path: str, title: str = "", mode: str = "overwrite"
         import pyarrow as pa
 
         yield pa.RecordBatch.from_pydict({"value": [head]})
-        yield from batches
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["value"])  # without Spark's note that no value is null
         yield pa.RecordBatch.from_pydict({"value": ["</grid></graph>"]})
 
     rows.mapInArrow(document, "value string").write.mode(mode).text(path)

@@ -1 +1 @@
-
+"""Steps over streams of files, and results as they come."""
