@@ -38,7 +38,7 @@ from .suffixes import U64, PrefixHashes, equal_classes, mixed
 
 GRAM = 36
 #: Bytes that are hashed together, and segments that a task folds together.
-SLICE = 1 << 20
+SLICE = 1 << 19
 FOLD = 400_000
 #: Segments of one anchor that are sorted in one task.
 LIMIT = 4096

@@ -15,7 +15,7 @@ from .common import settled, width
 #: A node pair with this many leaf pairs or fewer is compared leaf by leaf.
 LEAF = 16
 #: Leaf pairs that one call of trie_pairs may have to look at, at worst.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 19
 
 
 def trie_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,19 +96,20 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(fps: DataFrame, budget: int = 2, limit: int = 2048) -> DataFrame:
+def near_links(fps: DataFrame, budget: int = 2, limit: int = 512) -> DataFrame:
     """Links (src, dst) that connect all fingerprints within ``budget`` differing bits.
 
     ``fps`` has ``part`` (int), ``fp`` (long, distinct within a part) and a node id
     ``node`` (long); parts are joined each with itself.  Two fingerprints within the budget agree on at least one of ``budget + 1`` blocks of bits, so the
     trie is cut into subtries by each block's value and every subtrie is joined with
     itself.  A subtrie of over ``limit`` leaves is cut again by blocks of its free
-    bits, until all are smaller (distinct fingerprints end that); no leaf is dropped.
+    bits, until all are smaller; no leaf is dropped.  That ends, since ``budget + 1``
+    free bits or fewer tell fewer fingerprints apart than the least limit.
     Instead of all pairs in a subtrie, each of its leaves is linked to the smallest
     node of its connected part, so links number at most ``budget + 1`` times the
     fingerprints (per cut) whatever the density.
     """
-    spark, parts = fps.sparkSession, budget + 1
+    spark, parts, limit = fps.sparkSession, budget + 1, max(limit, 4 << budget)
     masks = {0}
     pending, done = fps.withColumn("mask", F.lit(0).cast("long")), []
     while True:
@@ -116,7 +117,7 @@ def near_links(fps: DataFrame, budget: int = 2, limit: int = 2048) -> DataFrame:
         pending = pending.withColumn("mask", F.explode(F.element_at(children, F.col("mask")))).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         masks = {c for m in masks for c in split_mask(m, parts)}
         large = settled(pending.groupBy("part", "mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("part", "mask", "key"), "large")
-        if large.isEmpty() or all(m == (1 << 64) - 1 for m in masks):
+        if large.isEmpty():
             done.append(pending)
             break
         done.append(pending.join(large, ["part", "mask", "key"], "left_anti").select(*pending.columns))
