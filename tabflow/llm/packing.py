@@ -64,15 +64,15 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     never = np.iinfo(np.int64).max
     for k, size in enumerate(lengths.tolist()):
-        # From gap g to g - size: (n[g]-1)^2 + (n[g-size]+1)^2 less what was there, halved.
-        change = n[: capacity + 1 - size] - n[size:] + 1
-        change[0] = -n[size]  # exactly full: halved, rounded down, so it wins a tie
+        # From gap g to g - size: (n[g]-1)^2 + (n[g-size]+1)^2 less what was there.
+        change = 2 * (n[: capacity + 1 - size] - n[size:] + 1)
+        change[0] = 1 - 2 * n[size]  # exactly full: it leaves the sum
         open_ = n[size:] > 0
         best = -1
         if open_.any():
             cost = np.where(open_, change, never)
             best = int(cost.argmin())
-        new = n[capacity - size] if size < capacity else -1
+        new = 2 * n[capacity - size] + 1 if size < capacity else 0
         if best >= 0 and cost[best] <= new:
             gap = best + size
             b = stacks[gap].pop()
