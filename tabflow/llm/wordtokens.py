@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
 from tokenizers import Tokenizer  # noqa: E402
@@ -32,23 +31,31 @@ class WordTokens:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.tails = dict(zip(".,", self.encode_raw([".", ","]), strict=True))
 
     def encode_raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(i)}I", *i) for i in ids]
 
     def ids_bytes(self, text: str) -> bytes:
         """The ids of a whole text, four bytes each."""
         if ODD.search(text):
             return self.encode_raw([text])[0]
-        if (text.isascii() or not PLAIN.search(text)) and "<|" not in text:
+        plain = (text.isascii() or not PLAIN.search(text)) and "<|" not in text
+        if plain:
             text = text.lower()
         words = text.split()
         known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            new = list({w for w in words if w not in known})
-            found = dict(zip(new, self.encode_raw(new), strict=True))
+            new = {w for w in words if w not in known}
+            # Letters and a full stop or comma behind them are two tokens' runs, whatever they are.
+            stems = {w: w[:-1] for w in new if w[-1] in self.tails and w[:-1].isalpha()} if plain else {}
+            rest = [w for w in (new - stems.keys()).union(stems.values()) if w not in known]
+            found = dict(zip(rest, self.encode_raw(rest), strict=True))
+            for w, stem in stems.items():
+                found[w] = (found.get(stem) or known[stem]) + self.tails[w[-1]]
             if len(known) + len(found) <= CACHE:
                 known.update(found)
                 return b"".join([known[w] for w in words])
