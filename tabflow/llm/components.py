@@ -12,8 +12,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, root): every node of ``links`` (src, dst) and the smallest node it can reach.
 
     Large-star and small-star steps alternate until nothing changes.  Each is a
-    partial minimum by node and an equi-join that AQE can split, so a node with very
-    many links is no one task's burden.  Each round is written to the shared folder.
+    partial minimum by node and, with the minima written to the shared folder, an
+    equi-join of two plain exchanges, which AQE can split: a node with very many links
+    is no one task's burden.
     Links with a null end are ignored; links of a node to itself make it its own root.
     """
     edges = links.filter("src is not null and dst is not null")
@@ -23,11 +24,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     now = digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = settled(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         # Large star: every larger neighbour links to the smallest node around.
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = settled(large.distinct(), "large")
         # Small star: a node and its smaller neighbours link to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = settled(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         new = settled(small.select("e.u", "e.v").filter("u <> v").distinct(), "round")
         then, now = now, digest(new)

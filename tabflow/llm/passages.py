@@ -41,7 +41,7 @@ GRAM = 36
 SLICE = 1 << 19
 FOLD = 400_000
 #: Segments of one anchor that are sorted in one task.
-LIMIT = 4096
+LIMIT = 1000
 #: Windows that are sorted together, about.
 SORT = 400_000
 
