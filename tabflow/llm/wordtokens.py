@@ -45,21 +45,28 @@ class WordTokens:
         if plain:
             text = text.lower()
         words = text.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = {w for w in words if w not in known}
-            # Letters and a full stop or comma behind them are two tokens' runs, whatever they are.
-            stems = {w: w[:-1] for w in new if w[-1] in self.tails and w[:-1].isalpha()} if plain else {}
-            rest = [w for w in (new - stems.keys()).union(stems.values()) if w not in known]
-            found = dict(zip(rest, self.encode_raw(rest), strict=True))
-            for w, stem in stems.items():
-                found[w] = (found.get(stem) or known[stem]) + self.tails[w[-1]]
-            if len(known) + len(found) <= CACHE:
-                known.update(found)
-                return b"".join([known[w] for w in words])
-            return b"".join([found[w] if w in found else known[w] for w in words])
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            found = self.encode_words({w for w, p in zip(words, parts, strict=True) if p is None}, plain)
+            parts = [found[w] if p is None else p for w, p in zip(words, parts, strict=True)]
+        return b"".join(parts)
+
+    def encode_words(self, new: set[str], plain: bool) -> dict[str, bytes]:
+        """The ids of words that are not known yet; they are kept while there is room.
+
+        In a plain text, letters and a full stop or comma behind them are two runs for the
+        tokenizer, whatever they are: the letters are encoded once for all three forms.
+        """
+        known, tails = self.known, self.tails
+        stems = {w: w[:-1] for w in new if w[-1] in tails and w[:-1].isalpha()} if plain else {}
+        rest = [w for w in new if w not in stems]
+        rest += {x for x in stems.values() if x not in known and x not in new}
+        found = dict(zip(rest, self.encode_raw(rest), strict=True))
+        for w, stem in stems.items():
+            found[w] = (found[stem] if stem in found else known[stem]) + tails[w[-1]]
+        if len(known) + len(found) <= CACHE:
+            known.update(found)
+        return found
 
 
 _TOKENS: dict[str, WordTokens] = {}
