@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import documents
+from .common import blocks, documents
 
 BLOCK = 1 << 15
 POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -52,7 +52,7 @@ def fingerprints(df: DataFrame, words: int = 3, tables: int = 1, id_col: str = "
     """(doc_id, fps): the SimHashes of every whole text as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches):
             fps = np.array([simhashes(t, words, tables) for t in b.column(1).to_pylist()], np.uint64).view(np.int64).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * tables), pa.array(fps))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["doc_id", "fps"])

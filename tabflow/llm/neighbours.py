@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, filtered, settled
+from .common import blocks, documents, filtered, settled
 from .labelled import training_documents
 
 LOWER, UPPER, DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
@@ -147,10 +147,8 @@ def score(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for b in batches:
-            # Texts become Python strings a block at a time, not a whole batch.
-            scores = [own.score(b.column(1).slice(lo, BLOCK).to_pylist()) for lo in range(0, b.num_rows, BLOCK)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([[], *scores]), pa.float64())], names=["doc_id", "score"])
+        for b in blocks(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.score(b.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, settled
+from .common import blocks, documents, settled
 from .wordtokens import word_tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, row = word_tokens(tokenizer_path), 0
-        for b in batches:
+        for b in blocks(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = tokens.ids_bytes(text) + end

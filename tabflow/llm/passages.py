@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, for_each_row, settled, width, with_row_ids
+from .common import blocks, documents, for_each_row, settled, width, with_row_ids
 from .suffixes import U64, PrefixHashes, equal_classes, mixed
 
 GRAM = 36
@@ -108,7 +108,7 @@ def _texts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.
     def joined():
         return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.array(rids, np.int64), np.array(bases, np.int64)
 
-    for b in batches:
+    for b in blocks(batches):
         for rid, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             for base in range(0, max(1, len(text) - length + 1), SLICE):
                 part = text[base : base + SLICE + length - 1]
@@ -243,8 +243,8 @@ def repeated_windows(k: np.ndarray, rid: np.ndarray, start: np.ndarray, n: np.nd
     # In a block by the order of documents: a stable sort then puts the earliest of a class first.
     by = np.lexsort((start[owner], rid[owner], distance, k[owner]))
     owner, place, distance = owner[by], place[by], distance[by]
-    blocks = np.cumsum(np.concatenate([[0], (k[owner][1:] != k[owner][:-1]) | (distance[1:] != distance[:-1])]))
-    order, classes = equal_classes(data, begin[owner] + place, blocks, length, h)
+    block = np.cumsum(np.concatenate([[0], (k[owner][1:] != k[owner][:-1]) | (distance[1:] != distance[:-1])]))
+    order, classes = equal_classes(data, begin[owner] + place, block, length, h)
     again = np.concatenate([[False], classes[1:] == classes[:-1]])
     found = order[again]
     s = start[owner[found]] + place[found]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, settled
+from .common import blocks, documents, settled
 
 SYMBOLS = "#*$%&|<>"
 ASCII_SPACE = " \t\n\r\x0b\f"
@@ -64,7 +64,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, *MEASURES) of every whole text; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches):
             rows = [measure(t) for t in b.column(1).to_pylist()]
             columns = zip(*rows, strict=True) if rows else ([] for _ in MEASURES)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", *MEASURES])

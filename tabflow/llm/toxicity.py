@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, filtered, settled
+from .common import blocks, documents, filtered, settled
 from .labelled import held_out, training_documents
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     """(doc_id, score) of every whole text; a null or empty text scores as one that meets no entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")

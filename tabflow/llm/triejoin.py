@@ -100,7 +100,8 @@ def near_links(fps: DataFrame, budget: int = 2, limit: int = 512) -> DataFrame:
     """Links (src, dst) that connect all fingerprints within ``budget`` differing bits.
 
     ``fps`` has ``part`` (int), ``fp`` (long, distinct within a part) and a node id
-    ``node`` (long); parts are joined each with itself.  Two fingerprints within the budget agree on at least one of ``budget + 1`` blocks of bits, so the
+    ``node`` (long); parts are joined each with itself.  Two fingerprints within
+    the budget agree on at least one of ``budget + 1`` blocks of bits, so the
     trie is cut into subtries by each block's value and every subtrie is joined with
     itself.  A subtrie of over ``limit`` leaves is cut again by blocks of its free
     bits, until all are smaller; no leaf is dropped.  That ends, since ``budget + 1``
