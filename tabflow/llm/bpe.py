@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, documents
+from .common import CACHES, blocks, documents
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
 from tokenizers import Tokenizer  # noqa: E402
@@ -145,6 +145,7 @@ class ByteBPE:
 
 
 _CODERS: dict[str, ByteBPE] = {}
+CACHES["chunks"] = lambda: [c.known.clear() for c in _CODERS.values()]
 
 
 def coder(path: str) -> ByteBPE:
@@ -164,7 +165,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for b in blocks(batches):
+        for b in blocks(batches, cache="chunks"):
             yield pa.RecordBatch.from_arrays([b.column(0), _lists([bpe.ids_bytes(t) for t in b.column(1).to_pylist()])], names=["doc_id", "ids"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -175,7 +176,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for b in blocks(batches):
+        for b in blocks(batches, cache="chunks"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(i or []) for i in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, encoded.select(F.col(id_col).alias("doc_id")).schema[0].simpleString().replace(":", " ") + ", text string")
@@ -186,7 +187,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for b in blocks(batches):
+        for b in blocks(batches, cache="chunks"):
             ids = [bpe.ids_bytes(t) for t in b.column(1).to_pylist()]
             texts = [bpe.decode(np.frombuffer(i, "<i4").tolist()) for i in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])

@@ -53,18 +53,30 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in smaller ones, without copying: few texts are Python strings at a time."""
+#: How to empty what a worker keeps between tasks, by name; modules enter theirs.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def blocks(batches: Iterator[pa.RecordBatch], rows: int = 512, cache: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, without copying: few texts are Python strings at a time.
+
+    A worker serves one operator after another: what others have kept in it is released
+    first, all but ``cache``.
+    """
+    for name, empty in CACHES.items():
+        if name != cache:
+            empty()
+    pa.default_memory_pool().release_unused()
     for b in batches:
         for lo in range(0, b.num_rows, rows):
             yield b.slice(lo, rows)
 
 
-def filtered(df: DataFrame, text_col: str, keeps: Callable[[list[str]], list[bool]]) -> DataFrame:
+def filtered(df: DataFrame, text_col: str, keeps: Callable[[list[str]], list[bool]], cache: str | None = None) -> DataFrame:
     """The rows of ``df``, all columns as they are, whose whole texts ``keeps`` calls true."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, cache=cache):
             texts = ["" if t is None else t for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
             yield b.filter(pa.array(keeps(texts), pa.bool_()))
 

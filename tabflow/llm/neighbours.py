@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, filtered, settled
+from .common import CACHES, blocks, documents, filtered, settled
 from .labelled import training_documents
 
 LOWER, UPPER, DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
@@ -20,6 +20,7 @@ LOWER, UPPER, DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ
 BLOCK = 256
 SHAPES = 100_000
 _SHAPE: dict[str, str] = {}
+CACHES["shapes"] = _SHAPE.clear
 
 
 def shape(word: str) -> str:
@@ -147,7 +148,7 @@ def score(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for b in blocks(batches):
+        for b in blocks(batches, cache="shapes"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.score(b.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -156,4 +157,4 @@ def score(docs: DataFrame, model: Neighbours, id_col: str = "doc_id", text_col:
 def accept(docs: DataFrame, model: Neighbours, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The documents that score ``threshold`` or more, all columns as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return filtered(docs, text_col, lambda texts: (sent.value.score(texts) >= threshold).tolist())
+    return filtered(docs, text_col, lambda texts: (sent.value.score(texts) >= threshold).tolist(), "shapes")

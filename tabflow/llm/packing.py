@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, row = word_tokens(tokenizer_path), 0
-        for b in blocks(batches):
+        for b in blocks(batches, cache="words"):
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = tokens.ids_bytes(text) + end

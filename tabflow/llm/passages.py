@@ -33,9 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, for_each_row, settled, width, with_row_ids
+from .common import CACHES, blocks, documents, for_each_row, settled, width, with_row_ids
 from .suffixes import U64, PrefixHashes, equal_classes, mixed
 
+CACHES["powers"] = PrefixHashes._powers.clear
 GRAM = 36
 #: Bytes that are hashed together, and segments that a task folds together.
 SLICE = 1 << 19
@@ -108,7 +109,7 @@ def _texts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.
     def joined():
         return np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), np.array(rids, np.int64), np.array(bases, np.int64)
 
-    for b in blocks(batches):
+    for b in blocks(batches, cache="powers"):
         for rid, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
             for base in range(0, max(1, len(text) - length + 1), SLICE):
                 part = text[base : base + SLICE + length - 1]

@@ -9,6 +9,8 @@ import struct
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
 from tokenizers import Tokenizer  # noqa: E402
 
+from .common import CACHES  # noqa: E402
+
 #: Words whose ids one worker keeps; a word beyond them is encoded each time it comes.
 CACHE = 600_000
 #: str.split() cuts at these too, the tokenizer does not.
@@ -70,6 +72,7 @@ class WordTokens:
 
 
 _TOKENS: dict[str, WordTokens] = {}
+CACHES["words"] = lambda: [t.known.clear() for t in _TOKENS.values()]
 
 
 def word_tokens(path: str) -> WordTokens:
