@@ -11,7 +11,11 @@ from ..functions.aggregates import Aggregator
 from ..functions.sequencer import range_table, sequence_table
 from ..operators import pieces
 from ..operators.dataset import Dataset, Join, Order
-from ..operators.steps import Chain, Filter, Pivot, Source, Workspace
+from ..operators.steps import Calculate, Chain, Clone, Filter, JoinChain, Merge, Pivot, Rename, Source, Workspace
+from ..operators.tables import Table
+from ..sources import registry, scratch
+from ..sources.crawl import crawl
+from ..streaming import micro
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,3 +435,99 @@ def sequence_range(spark, sf_dir):
     UNION ALL SELECT 'Z' || i FROM range(10) t(i)""")
 def sequence_pattern(spark, sf_dir):
     return sequence_table(spark, "([A-D][0-9](x)?)|(Z[0-9])", "code")
+
+
+# --- sources, sinks, stored tables, chains and streams -----------------------
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def csv_round_trip(spark, sf_dir):
+    path = scratch.folder(spark)
+    registry.write(table(spark, sf_dir, "nation").df, "csv", path, separator=";")
+    return registry.read(spark, "csv", path=path, separator=";")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def json_array_source(spark, sf_dir):
+    """An array of objects, written as one text and read as a table."""
+    path = scratch.folder(spark)
+    whole = table(spark, sf_dir, "nation").df.select(F.to_json(F.struct("*")).alias("row")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("value"))
+    whole.write.text(path)
+    return registry.read(spark, "json", path=path)
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nation, n_name, n_regionkey::VARCHAR AS n_region FROM nation")
+def dbf_round_trip(spark, sf_dir):
+    path = scratch.local_path(spark, ".dbf")
+    registry.write(table(spark, sf_dir, "nation").rename({"n_nationkey": "n_nation", "n_regionkey": "n_region"}).df, "dbf", path)
+    return registry.open_file(spark, path)
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier")
+def sqlite_round_trip(spark, sf_dir):
+    path = scratch.local_path(spark, ".sqlite")
+    registry.write(table(spark, sf_dir, "supplier").df, "sqlite", path, table="suppliers")
+    return registry.read(spark, "sqlite", path=path, table="suppliers")
+
+
+@query("SELECT count(*) AS rows, sum(length(r_name)) AS letters FROM region")
+def xml_sink(spark, sf_dir):
+    """The XML is read back as text: one row for each, with its name's letters."""
+    path = scratch.folder(spark)
+    registry.write(table(spark, sf_dir, "region").df, "xml", path)
+    lines = spark.read.text(path).filter(F.col("value").rlike("^<row>.*</row>$") & ~F.contains("value", F.lit("<title>")))
+    name = F.regexp_extract("value", "<cell>([^<]*)</cell></row>$", 1)
+    rows = lines.filter(name != "r_name")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.char_length(name)).alias("letters"))
+
+
+@query("""SELECT r_regionkey::BIGINT AS r_regionkey, CASE WHEN r_name = 'ASIA' THEN 'East' ELSE r_name END AS r_name, NULL::DOUBLE AS size FROM region WHERE r_regionkey <> 0
+    UNION ALL SELECT 99, 'Added', NULL UNION ALL SELECT n_nationkey, n_name, NULL FROM nation WHERE n_nationkey < 3""")
+def stored_table_changes(spark, sf_dir):
+    """Create, insert, import, update, delete and alter."""
+    own = Table.create(table(spark, sf_dir, "region").df.withColumn("r_regionkey", F.col("r_regionkey").cast("long")), scratch.folder(spark), ["r_regionkey"])
+    regions = {r.r_name: r.r_regionkey for r in own.read().collect()}
+    own.insert({"r_regionkey": 99, "r_name": "Added"})
+    if "ASIA" in regions:
+        own.update({"r_regionkey": regions["ASIA"]}, "r_name", "ASIA", "East")
+    own.delete([{"r_regionkey": 0}])
+    own.import_rows(table(spark, sf_dir, "nation").filter("n_nationkey<3").df, {"r_regionkey": "n_nationkey", "r_name": "n_name"})
+    own.alter({"r_regionkey": "bigint", "r_name": "string", "size": "double"})
+    return own.read()
+
+
+@query("""SELECT n_name AS name, r_name AS region, count(c_custkey) AS customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2
+    UNION ALL SELECT 'all', 'all', count(*) FROM customer""")
+def chains_of_steps(spark, sf_dir):
+    """Chains that join, clone and merge each other, saved as JSON and read again."""
+    file = lambda n: Source("parquet", {"path": f"{sf_dir}/{n}.parquet"})
+    work = Workspace({
+        "regions": Chain([file("region")]),
+        "nations": Chain([file("nation"), JoinChain("regions", "n_regionkey=#r_regionkey", "inner")]),
+        "customers": Chain([file("customer")]),
+        "each": Chain([Clone("nations"), JoinChain("customers", "n_nationkey=#c_nationkey"), Pivot(["n_name", "r_name"], [], {"customers": {"formula": "c_custkey", "reducer": "count"}}), Rename({"n_name": "name", "r_name": "region"})]),
+        "total": Chain([Clone("customers"), Pivot([], [], {"customers": {"formula": "1", "reducer": "countAll"}}), Calculate("name", '"all"'), Calculate("region", '"all"')]),
+        "both": Chain([Clone("each"), Merge("total")]),
+    })
+    return Workspace.from_json(work.to_json()).full(spark, "both").select(["name", "region", "customers"]).df
+
+
+@query("SELECT page_id, length(html) AS size, 200 AS status FROM pages")
+def crawl_pages(spark, sf_dir):
+    """One fetch for each row; the fetcher gives back what the address holds, for want of a network."""
+    pages = table(spark, sf_dir, "pages")
+    crawled = crawl(pages, "[html]", "body", "status", concurrent=8, per_second=10_000, fetcher=lambda address: (200, address))
+    return crawled.calculate({"size": "LENGTH([body])"}).select(["page_id", "size", "status"]).df
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value * 2), 4) AS total FROM events WHERE value > 10 GROUP BY 1")
+def stream_groups(spark, sf_dir):
+    """Row steps and a kept grouped result over a stream of files."""
+    files = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(files).parquet(f"{sf_dir}/events.parquet*")
+    rows = micro.row_steps(stream, Chain([Filter("value>10"), Calculate("double", "value*2")]))
+    kept = micro.running_groups(rows, {"event_type": "event_type"}, {"n": Aggregator("1", "countAll"), "total": Aggregator("double", "sum")})
+    name = "stream_groups_" + scratch.folder(spark)[-8:]
+    running = kept.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch.folder(spark)).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return Dataset(spark.table(name)).calculate({"total": "ROUND(@;4)"}).df
