@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _OWN: dict[str, str] = {}
+_SETTLED: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,14 +35,23 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
     Cuts the lineage: whatever reads it later neither repeats the work nor depends
-    on an executor that has been lost.
+    on an executor that has been lost.  ``clear_settled`` removes these tables.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tabflow-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SETTLED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_settled(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this driver: call it when results have been written."""
+    jvm = spark._jvm
+    while _SETTLED:
+        path = jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for a shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -294,3 +294,18 @@ def test_licenses(spark):
     assert got[4] == (None, "Apache-2.0,MIT", 2)
     assert got[5][0] == "Apache-2.0"
     assert got[6] == (None, "", 0)
+
+
+def test_intermediate_tables_are_removed(spark):
+    from pathlib import Path
+
+    from tabflow.llm import common
+
+    df = common.settled(spark.range(3), "gone")
+    where = Path(df.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
+    assert df.count() == 3
+    assert where.exists()
+    kept, common._SETTLED[:] = common._SETTLED[:-1], common._SETTLED[-1:]
+    common.clear_settled(spark)
+    common._SETTLED[:] = kept
+    assert not where.exists()
