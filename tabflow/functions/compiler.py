@@ -6,7 +6,7 @@ Everything is built from Spark's own functions; no formula runs Python.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -84,12 +84,15 @@ def compile_formula(formula: str | Node, df: DataFrame, foreign: DataFrame | Non
 # --- binary operators ---------------------------------------------------------
 
 
-def equality(a: Val, b: Val, strict: bool = False) -> Column:
+def equality(a: Val, b: Val, strict: bool = False, condition: bool = False) -> Column:
     """a = b; null where one is empty, except that ``strict`` (and a literal NULL) tells empties apart.
 
     Numbers are equal as numbers, a number and a text if the text is that number; an
-    invalid value equals nothing.
+    invalid value equals nothing.  In a ``condition`` null is as good as false: a plain
+    equality is left, which can be a join's key or reach a scan.
     """
+    if condition and not strict and all(x.invalid is None or x.nulls for x in (a, b)):
+        a, b = (replace(x, invalid=None) for x in (a, b))
     if a.kind == NONE or b.kind == NONE:
         out = a.value.isNull() & b.value.isNull()
     else:
@@ -113,6 +116,14 @@ def equality(a: Val, b: Val, strict: bool = False) -> Column:
     return out if flag is None else F.when(flag, False).otherwise(out)
 
 
+def compile_condition(node: Node, ctx: Context) -> Column:
+    """Whether a tree is true, as a filter or join needs it: null and false are alike."""
+    if isinstance(node, Binary) and node.op == "=":
+        return equality(compile_node(node.left, ctx), compile_node(node.right, ctx), ctx.strict, True)
+    x = compile_node(node, ctx)
+    return v.truth(x) if x.kind in (BOOL, LONG, TEXT) else v.number(x) == 1
+
+
 def conjuncts(node: Node) -> list[Node]:
     """The conditions that all hold where the node does: those that its ANDs join."""
     if isinstance(node, Call) and node.function == "and":

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import values as v
 from ..functions.aggregates import Aggregator, over_groups
-from ..functions.compiler import Context, compile_formula, compile_node, conjuncts, context, quoted
+from ..functions.compiler import Context, compile_condition, compile_formula, compile_node, conjuncts, context, quoted
 from ..functions.formula import FormulaError, Node, columns_of, parse
 from .names import default_name, new_name
 
@@ -79,8 +79,7 @@ class Dataset:
         """
         df = self.df
         for part in conjuncts(self._tree(formula)):
-            x = self._value(part)
-            df = df.filter(v.truth(x) if x.kind in (v.BOOL, v.LONG, v.TEXT) else v.number(x) == 1)
+            df = df.filter(compile_condition(part, context(df, strict=self.strict)))
         return self._with(df)
 
     def limit(self, n: int) -> Dataset:
@@ -181,7 +180,7 @@ class Dataset:
             for c in cells:
                 column = new_name(x + c, used)
                 used.append(column)
-                columns.append(F.max_by(F.col(quoted(c)), F.when(F.col(name) == x, F.struct(F.col(quoted(c)).isNotNull()))).alias(column))
+                columns.append(F.first(F.when(F.col(name) == x, F.col(quoted(c))), ignorenulls=True).alias(column))
         grouped = rows.groupBy(*(quoted(c) for c in down))
         return self._with(grouped.agg(*columns) if columns else rows.select(*down).distinct())
 
@@ -259,7 +258,7 @@ class Dataset:
         other = right.select(*(right[quoted(c)].alias(a) for c, a in alias.items()))
         ctx = context(left, strict=self.strict or join.nulls_match)
         ctx.foreign = {c.lower(): v.from_column(other[a], right.schema[c].dataType) for c, a in alias.items()}
-        condition = compile_node(tree, ctx).column()
+        condition = reduce(lambda a, b: a & b, (compile_condition(c, ctx) for c in conjuncts(tree)), F.lit(True))
         if not equi(tree):
             other = sent_if_small(other)
         out = left.join(other, condition, join.type)

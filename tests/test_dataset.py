@@ -198,3 +198,17 @@ def test_empty_table(spark):
     assert t.pivot(["b"], ["a"], ["a"]).rows() == []
     assert t.flatten("v").rows() == []
     assert t.aggregate({"a": "a"}, {"n": Aggregator("1", "countAll")}).rows() == []
+
+
+def test_equalities_are_join_keys(spark):
+    a = Dataset(spark.createDataFrame([(i, f"N{i}") for i in range(9)], "i long, s string"))
+    b = Dataset(spark.createDataFrame([(i, f"n{i}", i * 2) for i in range(9)], "j long, t string, k long"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for formula, n in (("i=#j", 9), ("AND(LOWER(s)=#t;#k>3)", 7), ("AND(i+1=#k/2+1;LEFT(s;1)=UPPER(LEFT(#t;1)))", 9)):
+            joined = a.join(Join(b, formula, "inner"))
+            assert "SortMergeJoin" in joined.df._jdf.queryExecution().executedPlan().toString()
+            assert len(joined.rows()) == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
