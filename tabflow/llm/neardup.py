@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .common import settled
 from .components import connected_components
 from .fingerprints import fingerprints
+from .similar import similar_classes
 from .triejoin import near_links
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, tables: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every document.
 
-    Documents with a SimHash that differs in at most ``budget`` bits are linked, in any
-    of ``tables`` independent SimHashes; component_id is the smallest doc_id that links
+    Documents whose SimHash differs in at most ``budget`` bits are linked.  Several
+    ``tables`` ask for more than SimHashes can find: then documents are linked where
+    0.8 or more of their shingles are shared, all of them and no others, and neither
+    ``budget`` nor the number of tables matters.  component_id is the smallest doc_id that links
     reach, the document's own included; fp is the first SimHash.  Documents whose
     fingerprints are all equal are folded to one node before the join and unfolded
     after it, so a large group of copies costs one node.  Texts without words share
@@ -23,16 +26,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, tables: in
     component if no document with them has an id.  Repeated rows are returned as often
     as they are given; an empty table gives no rows.
     """
+    if tables > 1:
+        return similar_classes(docs, words, 80, id_col, text_col)
     fps = settled(fingerprints(docs, words, tables, id_col, text_col), "fingerprints")
     nodes = settled(fps.groupBy("fps").agg(F.min("doc_id").alias("node")), "nodes")
     known = nodes.filter("node is not null")
-    by_table = known.select(F.posexplode("fps").alias("part", "fp"), "node")
-    if tables == 1:
-        links = near_links(by_table, budget)
-    else:
-        heads = settled(by_table.groupBy("part", "fp").agg(F.min("node").alias("head")), "heads")
-        equal = by_table.join(heads, ["part", "fp"]).filter("node <> head").select(F.col("node").alias("src"), F.col("head").alias("dst"))
-        links = near_links(heads.withColumnRenamed("head", "node"), budget).unionByName(equal)
+    links = near_links(known.select(F.posexplode("fps").alias("part", "fp"), "node"), budget)
     # A doc_id that is given to two texts would be a node twice: the smaller of the nodes it joins is right for both.
     roots = connected_components(links)
     classes = nodes.join(roots, "node", "left").select("fps", F.coalesce("root", "node").alias("component_id"))
