@@ -35,8 +35,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the smallest doc_id.
 
-    Five-word shingles of which 0.8 or more are shared; one SimHash within 4 bits is a
-    sure but rare sign of that, so sixteen are tried.
+    Texts are linked if, and only if, 0.8 or more of their five-word shingles are shared;
+    every document that goes had such a link.
     """
     return neardup.representatives(docs, words=5, budget=4, tables=16)
 

@@ -92,3 +92,18 @@ def test_all_pairs_of_a_table(spark, monkeypatch, often):
 def test_all_pairs_of_sf001(spark):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF_DIR}/documents.parquet'").fetchall()
     assert found(spark, rows) == classes(rows)
+
+
+def test_no_text_under_080_goes(spark):
+    """Pairs of 0.70 to 0.79 stay two documents, and what goes has a partner of 0.8 or more."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    rows = []
+    for k in range(100):
+        text = rng.choices(words, k=204)
+        other = edited(rng, text, 5 + k % 3)
+        assert 0.7 <= likeness(shingles(" ".join(text)), shingles(" ".join(other))) < 0.8
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    rows += [(1000 + i, t + " end") for i, t in rows[:20]]
+    kept = neardup.representatives(spark.createDataFrame(rows, "doc_id long, text string"), words=5, budget=4, tables=16)
+    assert {r.doc_id for r in kept.collect()} == set(range(200))
