@@ -6,14 +6,15 @@ it kept, written as Parquet and read again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.llm import neardup, neighbours, packing, passages, toxicity
-from tabflow.llm.common import settled
+from tabflow.llm.common import blocks, settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -41,15 +42,44 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return neardup.representatives(docs, words=5, budget=4, tables=16)
 
 
+def whole_characters(kept: bytes, start: list[int], stop: list[int]) -> bytes:
+    """``kept`` without the parts of characters that the cuts [start, stop) left beside them.
+
+    The places are those in the text before cutting, in order.
+    """
+    parts, at, gone = [], 0, 0
+    for k in range(len(start) + 1):
+        end = start[k] - gone if k < len(start) else len(kept)
+        lo, hi = at, end
+        while k > 0 and lo < hi and kept[lo] & 0xC0 == 0x80:
+            lo += 1
+        if k < len(start):
+            head = hi - 1
+            while head >= lo and kept[head] & 0xC0 == 0x80:
+                head -= 1
+            if head >= lo and kept[head] >= 0xC0 and hi - head < (2 if kept[head] < 0xE0 else 3 if kept[head] < 0xF0 else 4):
+                hi = head
+            gone += stop[k] - start[k]
+        parts.append(kept[lo:hi])
+        at = end
+    return b"".join(parts)
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of 100-byte strings that occur earlier.
 
     A character that a cut falls into goes as a whole; n_chars is counted anew.
     """
     kept = passages.remove_repeats(docs, 100, keep=("lang", "source"))
-    # U+FFFD stands where a cut character was; one that stood in the text itself goes too where something was cut.
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            texts = [whole_characters(t, [s["start"] for s in cuts], [s["stop"] for s in cuts]) for t, cuts in zip(b.column("kept").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary()), b.column("lang"), b.column("source")], names=["doc_id", "kept", "lang", "source"])
+
+    kinds = dict(docs.dtypes)
+    kept = kept.select("doc_id", "kept", "spans", "lang", "source").mapInArrow(whole, f"doc_id long, kept binary, lang {kinds['lang']}, source {kinds['source']}")
     text = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("n_removed") > 0, F.replace(text, F.lit("\ufffd"), F.lit(""))).otherwise(text)
     return kept.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

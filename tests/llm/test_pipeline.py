@@ -86,3 +86,31 @@ def test_odd_and_empty_tables(spark, odd, nothing, tmp_path):
         for name, stage in pipeline.STAGES:
             docs = settled(stage(spark, docs, str(tmp_path)), f"odd-{name}")
         assert docs.count() >= 0
+
+
+def test_only_cut_characters_go(spark):
+    """A U+FFFD of the text itself stays, whatever is cut elsewhere; parts of cut characters go."""
+    passage = "".join(chr(0x4E00 + k) for k in range(60))
+    rows = [(1, "x\ufffdy " + passage + " z\ufffd"), (2, "a\ufffdb " + passage + " c\ufffdd é"), (3, "\ufffd"), (4, "\ufffd" + chr(0x4E00 + 200) + passage[1:] + "\ufffd")]
+    docs = spark.createDataFrame([(i, t, "zh", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in pipeline.cut_repeats(spark, docs, SF_DIR).collect()}
+    assert got[1] == (rows[0][1], rows[0][1].__len__())
+    assert got[2][0] == "a\ufffdbc\ufffdd é" or got[2][0] == "a\ufffdb c\ufffdd é"
+    assert got[3][0] == "\ufffd"
+    assert got[4][0].startswith("\ufffd" + chr(0x4E00 + 200))
+    assert got[4][0].endswith("\ufffd")
+    assert all(n == len(t) for t, n in got.values())
+
+
+@pytest.mark.parametrize("text", ["aé漢😀b", "漢漢漢", "\ufffd漢\ufffd", "ab"])
+def test_whole_characters(text):
+    """For every two cuts, the characters that no cut touches."""
+    data = text.encode()
+    places = [(len(text[:k].encode()), len(text[: k + 1].encode()), c) for k, c in enumerate(text)]
+    n = len(data)
+    cuts = [[(a, b)] for a in range(n) for b in range(a + 1, n + 1)]
+    cuts += [[(a, b), (c, d)] for a in range(n) for b in range(a + 1, n) for c in range(b + 1, n) for d in range(c + 1, n + 1)]
+    for own in cuts:
+        kept = bytes(x for k, x in enumerate(data) if not any(a <= k < b for a, b in own))
+        whole = "".join(c for lo, hi, c in places if not any(a < hi and lo < b for a, b in own))
+        assert pipeline.whole_characters(kept, *map(list, zip(*own, strict=True))).decode() == whole
