@@ -145,9 +145,18 @@ def with_row_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def for_each_row(result: DataFrame, own: DataFrame, unique: bool) -> DataFrame:
-    """A result by rid, given back for each row of ``with_row_ids``, by doc_id and with the columns kept."""
+    """A result by rid, given back for each row of ``with_row_ids``, by doc_id and with the columns kept.
+
+    A kept column that is named as one of the result gets ``_`` behind its name.
+    """
     if "rest" in own.columns:
-        kept = [f"rest.{c}" for c in own.schema["rest"].dataType.names]
+        taken = {c.lower() for c in ("rid", "doc_id", *result.columns)}
+        kept = []
+        for k, c in enumerate(own.schema["rest"].dataType.names):
+            while c.lower() in taken:
+                c += "_"
+            taken.add(c.lower())
+            kept.append(F.col("rest").getField(own.schema["rest"].dataType.names[k]).alias(c))
         return own.select("rid", "doc_id", *kept).join(result, "rid").drop("rid")
     if unique:
         return result.withColumnRenamed("rid", "doc_id")

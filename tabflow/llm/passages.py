@@ -9,18 +9,23 @@ the smallest hash, leftmost first.  Equal windows have equal anchors at equal pl
 only windows with the same anchor string need to meet.
 
 1. Consecutive windows with one anchor form a *segment*.  A task hashes its texts and
-   emits one row for each segment: (anchor hash, segment hash, place).  Rows of equal
-   segments in one task are folded to the first, the others are repeats at once; so no
-   segment has more rows than there are tasks, however many copies it has.
-2. By anchor hash: of equal segments (128 bits: two hash families) all but the first are
-   repeats.  Where one anchor has several different segments, the first of each is asked
+   emits one row for each segment: (anchor hash, segment hash, place).  Rows of segments
+   in one task whose hashes and bytes are equal are folded to the first, the others are
+   repeats at once; so no segment has more rows than there are folds, however many copies
+   it has.
+2. By anchor hash: of segments with equal hashes all but the first are *claimed* to repeat
+   the first.  Where one anchor has several different segments, the first of each is asked
    for its bytes.  One row is held at a time.
-3. The bytes of these segments are cut from the texts.
-4. By anchor: all their windows, as suffixes of the joined bytes, are sorted by
+3. Claims of one document on another that follow each other become one range.  The bytes of
+   asked segments and of ranges that are claimed are cut from the texts.
+4. By anchor: all windows of asked segments, as suffixes of the joined bytes, are sorted by
    ``suffixes.equal_classes``; in each class all but the first are repeats.  An anchor
    with over ``LIMIT`` different segments goes window by window instead, by the window's
    hash, equal ones folded in the task first.
-5. Each document's repeats are united and cut from its text.
+5. Each document compares the bytes of its claims with its own, and what holds and what 4
+   found is united and cut from its text.  Should a claim fail, two different segments have
+   one hash: their anchors' hashes are not trusted, all their segments are asked for, and
+   the work is done again from 2.
 """
 
 from __future__ import annotations
@@ -38,16 +43,19 @@ from .suffixes import U64, PrefixHashes, equal_classes, mixed
 
 CACHES["powers"] = PrefixHashes._powers.clear
 GRAM = 36
-#: Bytes that are hashed together, and segments that a task folds together.
+#: Bytes that are hashed together; segments, and bytes, that a task folds together.
 SLICE = 1 << 19
-FOLD = 400_000
+FOLD, FOLD_BYTES = 400_000, 1 << 25
 #: Segments of one anchor that are sorted in one task.
 LIMIT = 1000
 #: Windows that are sorted together, about.
 SORT = 400_000
+#: Claims on one document that are served together; more are dealt to several rows.
+SERVED = 4_096
 
 SEGMENTS = "k long, sh long, rid long, start long, n long"
-MARKS = "rid long, start long, stop long, k long"
+MARKS = "rid long, start long, stop long, k long, rid0 long, start0 long"
+FOUND = "rid long, start long, stop long, bytes binary"
 
 
 def merged(rid: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,12 +132,18 @@ def _texts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.
         yield joined()
 
 
-def _folded(found: list[tuple[np.ndarray, ...]], length: int) -> pa.RecordBatch:
-    """One batch of SEGMENTS: first rows of equal segments, and the others' ranges with n = -1 and the stop in sh."""
-    k, sh, rid, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((start, rid, sh, k))
-    k, sh, rid, start, n = (x[order] for x in (k, sh, rid, start, n))
-    again = np.concatenate([[False], (k[1:] == k[:-1]) & (sh[1:] == sh[:-1])])
+def _folded(found: list[tuple[np.ndarray, ...]], data: list[np.ndarray], length: int) -> pa.RecordBatch:
+    """One batch of SEGMENTS: first rows of equal segments, and the others' ranges with n = -1 and the stop in sh.
+
+    ``found`` has k, sh, rid, start, n and the place in the joined ``data`` of each segment.
+    """
+    k, sh, rid, start, n, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((start, rid, n, sh, k))
+    k, sh, rid, start, n, at = (x[order] for x in (k, sh, rid, start, n, at))
+    again = np.concatenate([[False], (k[1:] == k[:-1]) & (sh[1:] == sh[:-1]) & (n[1:] == n[:-1])])
+    rows, joined = np.flatnonzero(again), b"".join(data)
+    x, y, z = at[rows].tolist(), at[rows - 1].tolist(), (n[rows] - 1 + length).tolist()
+    again[rows] = [joined[p : p + m] == joined[q : q + m] for p, q, m in zip(x, y, z, strict=True)]
     r, a, z = merged(rid[again], start[again], (start + n - 1 + length)[again])
     key = mixed((r * 1_000_003 + a).astype(np.int64).view(U64)).view(np.int64)
     own = ~again
@@ -137,24 +151,35 @@ def _folded(found: list[tuple[np.ndarray, ...]], length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k", "sh", "rid", "start", "n"])
 
 
-def segment_rows(texts: DataFrame, length: int) -> DataFrame:
+def segment_rows(texts: DataFrame, length: int, hash_bits: int = 64) -> DataFrame:
+    kept_bits = np.int64(-1) if hash_bits >= 64 else np.int64((1 << hash_bits) - 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
+        found, joined, held, size = [], [], 0, 0
         for data, offsets, rid, base in _texts(batches, length):
             k, sh, t, first, n = segments(data, offsets, length)
-            found.append((k, sh, rid[t], base[t] + first - offsets[t], n))
+            if not len(k):
+                continue
+            found.append((k, sh & kept_bits, rid[t], base[t] + first - offsets[t], n, size + first))
+            joined.append(data)
             held += len(k)
-            if held >= FOLD:
-                yield _folded(found, length)
-                found, held = [], 0
+            size += len(data)
+            if held >= FOLD or size >= FOLD_BYTES:
+                yield _folded(found, joined, length)
+                found, joined, held, size = [], [], 0, 0
         if held:
-            yield _folded(found, length)
+            yield _folded(found, joined, length)
 
     return texts.mapInArrow(run, SEGMENTS)
 
 
-def first_segments(rows: DataFrame, length: int) -> DataFrame:
-    """MARKS: repeats (stop > 0), and segments whose bytes are asked for (stop = minus their windows)."""
+def first_segments(rows: DataFrame, length: int, distrusted: np.ndarray) -> DataFrame:
+    """MARKS of three kinds.
+
+    Repeats (stop > 0), claims to repeat the segment that starts at rid0, start0 (stop > 0
+    too), and segments whose bytes are asked for (stop = minus their windows).  Segments of
+    ``distrusted`` anchors claim nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, ...] | None = None  # the last row that began a segment: k, sh, rid, start, n, asked
@@ -163,14 +188,19 @@ def first_segments(rows: DataFrame, length: int) -> DataFrame:
                 continue
             k, sh, rid, start, n = (c.to_numpy() for c in b.columns)
             ready = n < 0
-            out = [(rid[ready], start[ready], sh[ready], k[ready])]
+            out = [(rid[ready], start[ready], sh[ready], k[ready], rid[ready], start[ready])]
             k, sh, rid, start, n = (x[~ready] for x in (k, sh, rid, start, n))
+            claimed = 0
             if len(k):
                 if last:
                     k, sh, rid, start, n = (np.concatenate([[x], y]) for x, y in zip(last[:5], (k, sh, rid, start, n), strict=True))
-                again = np.concatenate([[False], (k[1:] == k[:-1]) & (sh[1:] == sh[:-1])])
-                out.append((rid[again], start[again], (start + n - 1 + length)[again], k[again]))
+                again = np.concatenate([[False], (k[1:] == k[:-1]) & (sh[1:] == sh[:-1]) & (n[1:] == n[:-1])])
+                if len(distrusted):
+                    again &= ~np.isin(k, distrusted)
                 at = np.flatnonzero(~again)
+                first = at[np.cumsum(~again) - 1][again]
+                claimed = len(first)
+                out.append((rid[again], start[again], (start + n - 1 + length)[again], k[again], rid[first], start[first]))
                 near = k[at][1:] == k[at][:-1]
                 asked = np.concatenate([near, [False]]) | np.concatenate([[False], near])
                 was = bool(last and last[5])
@@ -178,16 +208,57 @@ def first_segments(rows: DataFrame, length: int) -> DataFrame:
                 if was:
                     ask[0] = False  # already asked for
                 e = at[ask]
-                out.append((rid[e], start[e], -n[e], k[e]))
+                out.append((rid[e], start[e], -n[e], k[e], rid[e], start[e]))
                 z = at[-1]
                 last = (*(int(x[z]) for x in (k, sh, rid, start, n)), bool(asked[-1]) or (was and len(at) == 1))
-            columns = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rid", "start", "stop", "k"])
+            columns = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)]
+            other = np.ones(len(columns[0]), bool)  # only claims name another segment
+            other[len(out[0][0]) : len(out[0][0]) + claimed] = False
+            columns[4:] = [pa.array(c.to_numpy(), pa.int64(), mask=other) for c in columns[4:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["rid", "start", "stop", "k", "rid0", "start0"])
 
-    ordered = rows.repartition(width(rows.sparkSession), "k").sortWithinPartitions("k", "sh", "rid", "start")
+    ordered = rows.repartition(width(rows.sparkSession), "k").sortWithinPartitions("k", "sh", "n", "rid", "start")
     return ordered.mapInArrow(run, MARKS)
 
 
+def claimed_ranges(claims: DataFrame) -> DataFrame:
+    """(rid, start, stop, rid0, start0): claims of one text on another at one distance, joined where they touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rid, start, stop, rid0, start0 = (c.to_numpy() for c in b.columns)
+            gap = start - start0
+            new = np.ones(len(rid), bool)
+            # Along one distance segments ascend in start and in stop alike.
+            new[1:] = (rid[1:] != rid[:-1]) | (rid0[1:] != rid0[:-1]) | (gap[1:] != gap[:-1]) | (start[1:] > stop[:-1])
+            at = np.flatnonzero(new)
+            end = np.append(at[1:], len(rid))[: len(at)] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rid[at], start[at], stop[end], rid0[at], start0[at])], names=["rid", "start", "stop", "rid0", "start0"])
+
+    rows = claims.select("rid", "start", "stop", "rid0", "start0").repartition(width(claims.sparkSession), "rid")
+    rows = rows.sortWithinPartitions("rid", "rid0", F.col("start") - F.col("start0"), "start")
+    return rows.mapInArrow(run, "rid long, start long, stop long, rid0 long, start0 long")
+
+
+def claimed_bytes(texts: DataFrame, ranges: DataFrame) -> DataFrame:
+    """FOUND: for each range that is claimed, the bytes that it is claimed to repeat."""
+    asks = ranges.select(F.col("rid0").alias("rid"), F.struct(F.col("start0").alias("at"), "rid", "start", "stop").alias("ask"))
+    often = settled(asks.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SERVED).select("rid", F.ceil(F.col("n") / SERVED).alias("deals")), "often")
+    deal = F.lit(0)
+    if not often.isEmpty():  # a text that very many others repeat answers in several rows
+        asks = asks.join(often, "rid", "left")
+        deal = F.pmod(F.xxhash64("ask.rid", "ask.start"), F.coalesce("deals", F.lit(1)))
+    lists = asks.groupBy("rid", deal.alias("deal")).agg(F.collect_list("ask").alias("asks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            out = [(a["rid"], a["start"], a["stop"], text[a["at"] : a["at"] + a["stop"] - a["start"]]) for text, asked in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True) for a in asked]
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["rid", "start", "stop", "bytes"])
+
+    return texts.join(lists.select("rid", "asks").hint("shuffle_hash"), "rid").select("text", "asks").mapInArrow(run, FOUND)
+
+
 CONTEXTS = "k long, rid long, start long, n long, bytes binary"
 
 
@@ -253,13 +324,15 @@ def repeated_windows(k: np.ndarray, rid: np.ndarray, start: np.ndarray, n: np.nd
 
 
 def sorted_contexts(rows: DataFrame, length: int) -> DataFrame:
-    """MARKS of the repeats among contexts, whole anchors together."""
+    """FOUND, without bytes: the repeats among contexts, whole anchors together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(t: pa.Table) -> pa.RecordBatch:
             k, rid, start, n = (t.column(c).to_numpy() for c in range(4))
-            r, s, z = repeated_windows(k, rid, start, n, t.column(4).to_pylist(), length)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (r, s, z, np.zeros(len(r), np.int64))], names=["rid", "start", "stop", "k"])
+            return places(*map(pa.array, repeated_windows(k, rid, start, n, t.column(4).to_pylist(), length)))
+
+        def places(*columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], names=["rid", "start", "stop", "bytes"])
 
         held: list[pa.RecordBatch] = []
         windows = 0
@@ -267,7 +340,7 @@ def sorted_contexts(rows: DataFrame, length: int) -> DataFrame:
             n = b.column(3).to_numpy()
             ready = b.filter(pa.array(n < 0))
             if ready.num_rows:
-                yield pa.RecordBatch.from_arrays([ready.column(1), ready.column(2), ready.column(0), ready.column(3)], names=["rid", "start", "stop", "k"])
+                yield places(ready.column(1), ready.column(2), ready.column(0))
             b = b.filter(pa.array(n > 0))
             if not b.num_rows:
                 continue
@@ -285,10 +358,36 @@ def sorted_contexts(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield found(pa.Table.from_batches(held))
 
-    return rows.repartition(width(rows.sparkSession), "k").sortWithinPartitions("k").mapInArrow(run, MARKS)
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    return rows.repartition(width(rows.sparkSession), "k").sortWithinPartitions("k").mapInArrow(run, FOUND)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (rid, text, ranges): the result by rid, and the claims that do not hold."""
+    for b in batches:
+        lists = b.column(2)
+        offsets, inner = lists.offsets.to_numpy(), lists.flatten()
+        start, stop = (inner.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        claimed = inner.field(2)
+        has = claimed.is_valid().to_numpy(zero_copy_only=False)
+        at = np.cumsum(np.concatenate([[0], np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets))]))
+        sizes, removed, spans, kept, failed = [], [], [], [], []
+        for row, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
+            a, z = at[row], at[row + 1]
+            holds = np.ones(z - a, bool)
+            for j in np.flatnonzero(has[a:z]).tolist():
+                holds[j] = text[start[a + j] : stop[a + j]] == claimed[a + j].as_py()
+            failed.append([{"start": int(start[a + j]), "stop": int(stop[a + j])} for j in np.flatnonzero(~holds)])
+            _, s, e = merged(np.zeros(int(holds.sum()), np.int64), start[a:z][holds], stop[a:z][holds])
+            cuts = list(zip(s.tolist(), e.tolist(), strict=True))
+            sizes.append(len(text))
+            removed.append(int((e - s).sum()))
+            spans.append([{"start": x, "stop": y} for x, y in cuts])
+            kept.append(b"".join(text[x:y] for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(text)], strict=True)) if cuts else text)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(failed, kind)], names=["rid", "n_bytes", "n_removed", "spans", "kept", "failed"])
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), hash_bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans array<struct<start,stop>>, kept binary) for every document.
 
     ``spans`` are the maximal removed runs, in bytes of the UTF-8 text, ``kept`` the other
@@ -296,43 +395,38 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     ``length`` bytes keep all.  Documents are ordered by ``common.with_row_ids``: rows
     that repeat a doc_id and a text are one document and each get its result; other rows
     with that doc_id are ordered by their texts' hashes, null ids come first.  ``length``
-    must be over GRAM.  Columns of ``docs`` to ``keep`` return as they are.
+    must be over GRAM.  Columns of ``docs`` to ``keep`` return as they are, one that is
+    named as a result column with ``_`` behind its name.  No byte goes unless it was
+    compared; with fewer ``hash_bits`` segment hashes collide, which costs time only.
     """
     own, unique = with_row_ids(documents(docs, id_col, text_col, keep))
-    texts = own.select("rid", "text")
+    # With this filter the plan is the same for inner and left joins: the texts are shuffled once.
+    texts = own.select("rid", "text").filter("rid is not null")
     if not unique:
         texts = texts.dropDuplicates(["rid"])
-    marks = settled(first_segments(segment_rows(texts, length), length), "marks")
-    asked = marks.filter("stop < 0").select("rid", "start", (-F.col("stop")).alias("n"), "k")
-    crowded = settled(asked.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LIMIT).select("k", F.lit(True).alias("crowded")), "crowded")
-    if crowded.isEmpty():
-        asked = asked.withColumn("crowded", F.lit(False))
-    else:
-        # One row for each crowded anchor: sent to all while that is small, shuffled beyond.
-        asked = asked.join(F.broadcast(crowded) if crowded.count() <= 100_000 else crowded, "k", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    wanted = asked.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "k", "crowded")).alias("wanted"))
-    found = sorted_contexts(contexts(texts.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "wanted"), length), length)
-    ranges = marks.filter("stop > 0").select("rid", "start", "stop").unionByName(found.select("rid", "start", "stop"))
-    ranges = ranges.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    joined = texts.join(ranges.hint("shuffle_hash"), "rid", "left").select("rid", "text", "ranges")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(2)
-            offsets, inner = lists.offsets.to_numpy(), lists.flatten()
-            start, stop = (inner.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            at = np.cumsum(np.concatenate([[0], np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets))]))
-            sizes, removed, spans, kept = [], [], [], []
-            for row, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
-                a, z = at[row], at[row + 1]
-                _, s, e = merged(np.zeros(z - a, np.int64), start[a:z], stop[a:z])
-                cuts = list(zip(s.tolist(), e.tolist(), strict=True))
-                sizes.append(len(text))
-                removed.append(int((e - s).sum()))
-                spans.append([{"start": x, "stop": y} for x, y in cuts])
-                kept.append(b"".join(text[x:y] for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(text)], strict=True)) if cuts else text)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["rid", "n_bytes", "n_removed", "spans", "kept"])
-
-    out = joined.mapInArrow(cut, "rid long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
-    return for_each_row(out, own, unique)
+    distrusted = np.zeros(0, np.int64)
+    while True:
+        marks = settled(first_segments(segment_rows(texts, length, hash_bits), length, distrusted), "marks")
+        claims = marks.filter("rid0 is not null")
+        ranges = settled(claimed_ranges(claims), "claims")
+        asked = marks.filter("stop < 0").select("rid", "start", (-F.col("stop")).alias("n"), "k")
+        crowded = settled(asked.groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LIMIT).select("k", F.lit(True).alias("crowded")), "crowded")
+        if crowded.isEmpty():
+            asked = asked.withColumn("crowded", F.lit(False))
+        else:
+            # One row for each crowded anchor: sent to all while that is small, shuffled beyond.
+            asked = asked.join(F.broadcast(crowded) if crowded.count() <= 100_000 else crowded, "k", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+        wanted = asked.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "k", "crowded")).alias("wanted"))
+        found = sorted_contexts(contexts(texts.join(wanted.hint("shuffle_hash"), "rid").select("rid", "text", "wanted"), length), length)
+        sure = marks.filter("stop > 0 and rid0 is null").select("rid", "start", "stop", F.lit(None).cast("binary").alias("bytes"))
+        found = found.unionByName(claimed_bytes(texts, ranges)).unionByName(sure)
+        found = found.groupBy("rid").agg(F.collect_list(F.struct("start", "stop", "bytes")).alias("ranges"))
+        joined = texts.join(found.hint("shuffle_hash"), "rid", "left").select("rid", "text", "ranges")
+        kind = "array<struct<start:long,stop:long>>"
+        out = settled(joined.mapInArrow(_cut, f"rid long, n_bytes long, n_removed long, spans {kind}, kept binary, failed {kind}"), "cut")
+        failed = out.filter(F.size("failed") > 0).select(F.col("rid").alias("in_rid"), F.explode("failed").alias("f"))
+        # Of colliding hashes alone: none in any text that was not made for it.
+        bad = claims.join(failed, (F.col("rid") == F.col("in_rid")) & (F.col("start") >= F.col("f.start")) & (F.col("stop") <= F.col("f.stop"))) if not failed.isEmpty() else None
+        if bad is None:
+            return for_each_row(out.drop("failed"), own, unique)
+        distrusted = np.union1d(distrusted, bad.select("k").distinct().toArrow().column(0).to_numpy())

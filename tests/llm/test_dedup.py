@@ -164,6 +164,32 @@ def test_passages(spark, monkeypatch, limit):
     assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got} == plain_repeats(rows)
 
 
+@pytest.mark.parametrize("bits", [0, 6, 12])
+def test_hashes_of_segments_do_not_decide(spark, bits):
+    """Segment hashes of few bits call different segments equal, in a task and across tasks; bytes still decide."""
+    rows = hard_texts()
+    got = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), hash_bits=bits).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got} == plain_repeats(rows)
+
+
+def test_two_segments_of_one_hash(spark):
+    """Two texts around one anchor that share no 100 bytes keep all."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    anchor = letters(60)
+    rows = [(k, letters(52) + anchor + letters(52)) for k in range(2)]
+    for parts in (1, 2):
+        got = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), hash_bits=0).collect()
+        assert [r.n_removed for r in got] == [0, 0]
+
+
+def test_kept_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "x" * 120, 5, 6, 7), (2, "x" * 120, 5, 6, 7)], "doc_id long, text string, n_bytes long, rid long, n_bytes_ long")
+    got = passages.remove_repeats(docs, keep=("n_bytes", "rid", "n_bytes_"))
+    assert got.columns == ["doc_id", "n_bytes_", "rid_", "n_bytes__", "n_bytes", "n_removed", "spans", "kept"]
+    assert {(r.doc_id, r.n_bytes, r.n_bytes_, r.rid_) for r in got.collect()} == {(1, 120, 5, 6), (2, 120, 5, 6)}
+
+
 def test_passages_of_odd_rows(odd, nothing, labels):
     got = passages.remove_repeats(odd, keep=("lang", "score"))
     rows = got.collect()
