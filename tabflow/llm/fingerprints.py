@@ -15,7 +15,7 @@ BLOCK = 1 << 15
 POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def simhashes(text: str | None, words: int = 3, tables: int = 1) -> list[int]:
+def simhashes(text: str | None, words: int = 3, tables: int = 1) -> np.ndarray:
     """64-bit SimHashes of a whole text, ``tables`` independent ones.
 
     A-Z are lower-cased; words are runs without ASCII white space; a shingle is
@@ -24,21 +24,29 @@ def simhashes(text: str | None, words: int = 3, tables: int = 1) -> list[int]:
     the shingles' hashes: XXH64 (seed 42) for the first fingerprint, functions of it for
     the others.
     """
+    return fingerprint(shingle_hashes(text, words), tables)
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of a whole text, repeats included."""
     parts = (text or "").encode("utf-8", "replace").lower().split()
     if not parts:
-        return [0] * tables
+        return np.zeros(0, np.uint64)
     words = min(words, len(parts))
     n = len(parts) - words + 1
-    ones = np.zeros((tables, 64), np.int64)
     digest = xxhash.xxh64_intdigest
-    for lo in range(0, n, BLOCK):
-        m = min(BLOCK, n - lo)
-        grams = map(b" ".join, zip(*(parts[lo + k : lo + k + m] for k in range(words))))
-        first = np.fromiter((digest(g, 42) for g in grams), dtype="<u8", count=m)
+    return np.fromiter((digest(g, 42) for g in map(b" ".join, zip(*(parts[k : n + k] for k in range(words))))), np.uint64, n)
+
+
+def fingerprint(hashes: np.ndarray, tables: int = 1) -> np.ndarray:
+    """The SimHashes of a text's shingle hashes; 0 without any."""
+    ones = np.zeros((tables, 64), np.int64)
+    for lo in range(0, len(hashes), BLOCK):
+        first = hashes[lo : lo + BLOCK]
         for t in range(tables):
             h = first if t == 0 else mixed(first + np.uint64(t * 0x9E3779B97F4A7C15 % (1 << 64)))
-            ones[t] += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return (2 * ones > n).astype(np.uint64) @ POWERS
+            ones[t] += np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return (2 * ones > len(hashes)).astype(np.uint64) @ POWERS
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
