@@ -43,13 +43,13 @@ from .suffixes import U64, PrefixHashes, equal_classes, mixed
 
 CACHES["powers"] = PrefixHashes._powers.clear
 GRAM = 36
-#: Bytes that are hashed together; segments, and bytes, that a task folds together.
+#: Bytes that are hashed together; segments, and bytes, that a task folds together; segments whose places are Python numbers at a time.
 SLICE = 1 << 19
-FOLD, FOLD_BYTES = 400_000, 1 << 25
+FOLD, FOLD_BYTES, COMPARED = 400_000, 1 << 24, 20_000
 #: Segments of one anchor that are sorted in one task.
 LIMIT = 1000
 #: Windows that are sorted together, about.
-SORT = 400_000
+SORT = 200_000
 #: Claims on one document that are served together; more are dealt to several rows.
 SERVED = 4_096
 
@@ -142,8 +142,10 @@ def _folded(found: list[tuple[np.ndarray, ...]], data: list[np.ndarray], length:
     k, sh, rid, start, n, at = (x[order] for x in (k, sh, rid, start, n, at))
     again = np.concatenate([[False], (k[1:] == k[:-1]) & (sh[1:] == sh[:-1]) & (n[1:] == n[:-1])])
     rows, joined = np.flatnonzero(again), b"".join(data)
-    x, y, z = at[rows].tolist(), at[rows - 1].tolist(), (n[rows] - 1 + length).tolist()
-    again[rows] = [joined[p : p + m] == joined[q : q + m] for p, q, m in zip(x, y, z, strict=True)]
+    for lo in range(0, len(rows), COMPARED):
+        own = rows[lo : lo + COMPARED]
+        x, y, z = at[own].tolist(), at[own - 1].tolist(), (n[own] - 1 + length).tolist()
+        again[own] = [joined[p : p + m] == joined[q : q + m] for p, q, m in zip(x, y, z, strict=True)]
     r, a, z = merged(rid[again], start[again], (start + n - 1 + length)[again])
     key = mixed((r * 1_000_003 + a).astype(np.int64).view(U64)).view(np.int64)
     own = ~again
@@ -269,7 +271,7 @@ def contexts(asked: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches):
             rows: list[tuple[int, int, int, int, bytes]] = []
             single: dict[bytes, list[tuple[int, int]]] = {}
             for rid, text, wanted in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -363,7 +365,7 @@ def sorted_contexts(rows: DataFrame, length: int) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (rid, text, ranges): the result by rid, and the claims that do not hold."""
-    for b in batches:
+    for b in blocks(batches):
         lists = b.column(2)
         offsets, inner = lists.offsets.to_numpy(), lists.flatten()
         start, stop = (inner.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))

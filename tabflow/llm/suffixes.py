@@ -122,8 +122,8 @@ def equal_classes(data: np.ndarray, suffixes: np.ndarray, blocks: np.ndarray, de
     pairs = np.flatnonzero(b[1:] == b[:-1])
     pairs = pairs[common_prefix(h, s[pairs], s[pairs + 1], depth) == depth]
     span = np.arange(depth)
-    for lo in range(0, len(pairs), 50_000):
-        p = pairs[lo : lo + 50_000]
+    for lo in range(0, len(pairs), 5_000):
+        p = pairs[lo : lo + 5_000]
         same[p + 1] = (data[s[p][:, None] + span] == data[s[p + 1][:, None] + span]).all(axis=1)
     for block in np.unique(b[pairs + 1][~same[pairs + 1]]):
         at = np.flatnonzero(b == block)
