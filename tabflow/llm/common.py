@@ -7,10 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 _SETTLED: list[str] = []
@@ -19,11 +21,15 @@ _SETTLED: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary one is made.
+    Where that is unset, a temporary one is made, but only if all tasks run on this
+    machine (master ``local``, as in tests); elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _OWN:
         own = tempfile.TemporaryDirectory(prefix="tabflow-")
         atexit.register(own.cleanup)
@@ -35,21 +41,36 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
     Cuts the lineage: whatever reads it later neither repeats the work nor depends
-    on an executor that has been lost.  ``clear_settled`` removes these tables.
+    on an executor that has been lost.  ``drop_settled`` removes it, ``clear_settled``
+    all that are left.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tabflow-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SETTLED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
 
 
-def clear_settled(spark: SparkSession) -> None:
-    """Removes all intermediate tables of this driver: call it when results have been written."""
-    jvm = spark._jvm
-    while _SETTLED:
-        path = jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _remove(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_settled(*tables: DataFrame) -> None:
+    """Removes tables that ``settled`` gave, when whatever reads them has been settled itself."""
+    for t in tables:
+        _SETTLED.remove(t.settled_path)
+        _remove(t.sparkSession, t.settled_path)
+
+
+def clear_settled(spark: SparkSession, *keep: DataFrame) -> None:
+    """Removes all intermediate tables of this driver but those to ``keep``: call it when results have been written."""
+    kept = {t.settled_path for t in keep}
+    for path in [p for p in _SETTLED if p not in kept]:
+        _SETTLED.remove(path)
+        _remove(spark, path)
 
 
 def width(spark: SparkSession) -> int:
@@ -93,39 +114,65 @@ def filtered(df: DataFrame, text_col: str, keeps: Callable[[list[str]], list[boo
     return df.mapInArrow(run, df.schema)
 
 
+#: The places that ``monotonically_increasing_id`` has for the rows of a partition (fixed value).
+PLACES = 33
+
+
 def ordered_index(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with ``index`` (0, 1, ...) in the order of ``keys``, nulls first.
 
     Range partitions are sorted and counted; only the counts of partitions meet on
-    the driver.  ``df`` should hold keys and sizes, not texts.  Rows that tie in all
-    keys get neighbouring numbers in any order.
+    the driver.  ``df`` should hold keys and sizes, not texts, and no column ``index``,
+    ``tie`` or ``place``.  Rows that tie in all keys get neighbouring numbers in any order.
     """
-    return prefix_sums(df, keys, {}).drop("part")
+    place = F.monotonically_increasing_id()  # partition and row of a sorted partition in one number
+    rows = settled(_ranged(df, keys).withColumn("place", place), "ranged")
+    part = F.shiftright("place", PLACES).cast("int")
+    before = _before(rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")), ["n"])
+    rows = rows.withColumn("part", part).join(F.broadcast(before), "part")  # one row for each partition
+    return rows.withColumn("index", F.col("place").bitwiseAND(F.lit((1 << PLACES) - 1)) + F.col("n")).drop("part", "place", "n")
 
 
-def prefix_sums(df: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
-    """Adds ``index`` and, for each ``{new: column}``, the sum of column over all earlier rows.
+def prefix_sums(df: DataFrame, keys: list[str], size: str, index: str, begin: str) -> DataFrame:
+    """Adds ``index`` (0, 1, ... in the order of ``keys``, nulls first) and ``begin``, the sum of ``size`` over all earlier rows.
 
-    The range partitions are written once, with their number and a tie-breaker, so
-    that every later pass sees the same ones.  Totals by partition are as many rows
-    as there are partitions: they are summed on the driver and sent back.
+    One exchange by range: each sorted partition numbers its rows and sums their sizes
+    once, and is written; totals by partition are as many rows as there are partitions,
+    are summed on the driver and sent back.  Rows that tie are in any order.
     """
-    spark = df.sparkSession
+    ranged = _ranged(df, keys)
+    added = [T.StructField("part", T.IntegerType()), T.StructField(index, T.LongType()), T.StructField(begin, T.LongType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, total = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            sizes = b.column(b.schema.get_field_index(size)).fill_null(0).to_numpy()
+            ends = total + np.cumsum(sizes)
+            own = [pa.array(np.full(len(sizes), part), pa.int32()), pa.array(np.arange(n, n + len(sizes))), pa.array(ends - sizes)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*b.schema.names, "part", index, begin])
+            n += len(sizes)
+            total = int(ends[-1]) if len(sizes) else total
+
+    rows = settled(ranged.mapInArrow(run, T.StructType([*ranged.schema.fields, *added])), "ranged")
+    before = _before(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("sum")), ["n", "sum"])
+    rows = rows.join(F.broadcast(before), "part")  # one row for each partition
+    return rows.withColumns({index: F.col(index) + F.col("n"), begin: F.col(begin) + F.col("sum")}).drop("part", "n", "sum")
+
+
+def _ranged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` in sorted range partitions; a row number breaks ties, so that equal keys spread too."""
     order = [F.col(k).asc_nulls_first() for k in [*keys, "tie"]]
-    ranged = df.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(width(spark), *order)
-    ranged = settled(ranged.withColumn("part", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(new) for new, c in sums.items())).orderBy("part").collect()
-    names, offsets, so_far = ["n", *sums], [], dict.fromkeys(["n", *sums], 0)
-    for row in totals:
-        offsets.append((row["part"], *(so_far[k] for k in names)))
+    rows = df.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(width(df.sparkSession), *order)
+    return rows.sortWithinPartitions(*order).drop("tie")
+
+
+def _before(totals: DataFrame, names: list[str]) -> DataFrame:
+    """(part, *names): each partition's sums over the partitions before it."""
+    offsets, so_far = [], dict.fromkeys(names, 0)
+    for row in totals.orderBy("part").collect():
+        offsets.append((row["part"], *so_far.values()))
         so_far = {k: so_far[k] + (row[k] or 0) for k in names}
-    before = spark.createDataFrame(offsets, "part int, " + ", ".join(f"before_{k} long" for k in names))
-    w = Window.partitionBy("part").orderBy(*order)
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.withColumns({"index": F.row_number().over(w) - 1} | {new: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for new, c in sums.items()})
-    out = out.join(F.broadcast(before), "part")  # one row for each partition
-    out = out.withColumns({"index": F.col("index") + F.col("before_n")} | {new: F.col(new) + F.col(f"before_{new}") for new in sums})
-    return out.drop("tie", *(f"before_{k}" for k in names))
+    return totals.sparkSession.createDataFrame(offsets, "part int, " + ", ".join(f"{k} long" for k in names))
 
 
 def with_row_ids(docs: DataFrame) -> tuple[DataFrame, bool]:

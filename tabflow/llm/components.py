@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import drop_settled, settled
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Links with a null end are ignored; links of a node to itself make it its own root.
     """
     edges = links.filter("src is not null and dst is not null")
-    edges = settled(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "links")
+    first = edges = settled(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "links")
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     digest = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     now = digest(edges)
@@ -29,10 +29,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = settled(large.distinct(), "large")
         # Small star: a node and its smaller neighbours link to the smallest of them.
-        low = settled(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+        least = settled(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         new = settled(small.select("e.u", "e.v").filter("u <> v").distinct(), "round")
         then, now = now, digest(new)
+        drop_settled(low, large, least, *([] if edges is first else [edges]))
         edges = new
         if now == then:
             break

@@ -19,6 +19,8 @@ LOWER, UPPER, DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ
 #: Documents whose products with all neighbours are held at once.
 BLOCK = 256
 SHAPES = 100_000
+#: Places of a cosine that count: float32 sums in another order differ behind them.
+DIGITS = 5
 _SHAPE: dict[str, str] = {}
 CACHES["shapes"] = _SHAPE.clear
 
@@ -26,7 +28,7 @@ CACHES["shapes"] = _SHAPE.clear
 def shape(word: str) -> str:
     """A word with its runs of letters and digits folded and its other runs kept: ``Abc$$$`` is ``Aa$``."""
     s = DIGIT.sub("0", UPPER.sub("A", LOWER.sub("a", word)))
-    return "~" + re.sub(r"(.)\1+", r"\1", s)[:12]
+    return "~" + re.sub(r"(.)\1+", r"\1", s)
 
 
 def terms(text: str) -> dict[str, float]:
@@ -42,8 +44,7 @@ def terms(text: str) -> dict[str, float]:
                 _SHAPE[w] = s
         out[s] = out.get(s, 0) + n
         low = w.lower()
-        if len(low) < 8:
-            out[low] = out.get(low, 0) + n
+        out[low] = out.get(low, 0) + n
     again = sum(map(str.__eq__, words, words[1:]))
     if again:
         out["~again"] = again
@@ -77,18 +78,21 @@ class Neighbours:
         return np.divide(out, length, out=out, where=length > 0)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """The similarity-weighted share of label 1 among the k nearest, by exact cosines in blocks."""
+        """The similarity-weighted share of label 1 among the k nearest, by exact cosines in blocks.
+
+        Cosines count to DIGITS places; all neighbours that are as near as the k-th vote.
+        """
         out = np.full(len(texts), self.base)
         k = min(self.k, len(self.vectors))
         if not k:
             return out
         for lo in range(0, len(texts), BLOCK):
             x = self.embed(texts[lo : lo + BLOCK])
-            cosine = x @ self.vectors.T
-            near = np.argpartition(cosine, len(self.vectors) - k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 4
-            total = weight.sum(axis=1)
-            share = (weight * self.labels[near]).sum(axis=1)
+            cosine = np.round(x @ self.vectors.T, DIGITS)
+            kth = np.partition(cosine, len(self.vectors) - k, axis=1)[:, -k, None]
+            weight = np.where(cosine >= kth, np.maximum(cosine, 0), 0) ** 4
+            total = weight.sum(axis=1, dtype=np.float64)
+            share = weight @ self.labels
             some = total > 0
             out[lo : lo + BLOCK][some] = share[some] / total[some]
         return np.clip(out, 0, 1)

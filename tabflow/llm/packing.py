@@ -95,22 +95,26 @@ def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
     ``GROUP``, or fewer for a small table, one task's work each; within a group they
     are placed by the sum-of-squares rule, the longest first.  Only lengths and keys are
     shuffled.  A hash of all of a piece's columns deals, so repeated rows and a doc_id
-    that many rows share spread as well.
+    that many rows share spread as well.  Of ``found`` the columns of ``PIECES`` are read
+    and all others but ``row`` are kept.
     """
     n = found.count()
     groups = max(1, -(-n // GROUP))
-    found = found.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "row", "ids_crc32"), F.lit(groups)).cast("int"))
+    group = "group"
+    while group in found.columns:
+        group += "_"
+    found = found.withColumn(group, F.pmod(F.xxhash64("doc_id", "piece", "row", "ids_crc32"), F.lit(groups)).cast("int"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
         order = np.lexsort((table.column("piece").to_numpy(), table.column("doc_id").fill_null(-1).to_numpy(), -lengths))
         bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
         bins[order], offsets[order], _ = sum_of_squares(lengths[order], capacity)
-        table = table.drop_columns(["group", "row"])
+        table = table.drop_columns([group, "row"])
         return table.append_column("sequence_id", pa.array((key[0].as_py() << 40) + bins)).append_column("offset", pa.array(offsets))
 
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name not in ("group", "row")]
-    return found.groupBy("group").applyInArrow(run, ", ".join([*fields, "sequence_id long", "offset long"]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name not in (group, "row")]
+    return found.groupBy(group).applyInArrow(run, ", ".join([*fields, "sequence_id long", "offset long"]))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, blocks, documents, for_each_row, settled, width, with_row_ids
+from .common import CACHES, blocks, documents, drop_settled, for_each_row, settled, width, with_row_ids
 from .suffixes import U64, PrefixHashes, equal_classes, mixed
 
 CACHES["powers"] = PrefixHashes._powers.clear
@@ -430,5 +430,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         # Of colliding hashes alone: none in any text that was not made for it.
         bad = claims.join(failed, (F.col("rid") == F.col("in_rid")) & (F.col("start") >= F.col("f.start")) & (F.col("stop") <= F.col("f.stop"))) if not failed.isEmpty() else None
         if bad is None:
+            drop_settled(marks, ranges, crowded)
             return for_each_row(out.drop("failed"), own, unique)
         distrusted = np.union1d(distrusted, bad.select("k").distinct().toArrow().column(0).to_numpy())
+        drop_settled(marks, ranges, crowded, out)

@@ -106,6 +106,16 @@ def test_neardup_of_odd_rows(odd, nothing):
     assert {r.doc_id for r in kept.collect()}.isdisjoint({1, 2})
 
 
+def test_representatives_keep_all_columns(spark):
+    """Columns that are named as the operator's own stay as they are."""
+    rows = [(1, "a b c d", 7, 8, 9), (2, "a b c d", 7, 8, 9), (None, "a b c d", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id long, component_id long, id long")
+    for options in ({}, {"words": 5, "budget": 4, "tables": 2}):
+        kept = neardup.representatives(docs, **options)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
 def test_near_copies_of_five_word_shingles(spark):
     rng = random.Random(4)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
@@ -322,6 +332,51 @@ def test_licenses(spark):
     assert got[6] == (None, "", 0)
 
 
+@pytest.mark.parametrize("width", [60, 79, 200])
+def test_wrapped_licenses(spark, width):
+    """Published forms: wrapped lines, comment signs, titles, holders, numbered and lettered clauses, other spellings."""
+    import textwrap
+
+    def wrapped(text, sign=""):
+        return "\n".join(sign + x for p in text.split("\n\n") for x in [*textwrap.wrap(p, width), ""])
+
+    head = "Copyright (c) 1999-2024, The Holders <x@example.org>\nAll rights reserved.\n\n"
+    bsd = (licenses.BSD_2 + licenses.BSD_3_CLAUSE + licenses.WARRANTY_BSD).replace("copyright holder nor", "Example Corp. nor").replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")
+    texts = [
+        ("MIT", "The MIT License (MIT)\n\n" + head + wrapped(licenses.MIT)),
+        ("MIT", "MIT License\n\nCopyright © 2020 Someone\n\n" + wrapped(licenses.MIT, "# ")),
+        ("ISC", "ISC License\n\n" + head + wrapped(licenses.ISC)),
+        ("ISC", head + wrapped(licenses.ISC.replace("AUTHOR DISCLAIMS", "AUTHORS DISCLAIM").replace("THE AUTHOR BE", "THE AUTHORS BE"))),
+        ("BSD-2-Clause", "BSD 2-Clause License\n\n" + head + wrapped(licenses.BSD_2 + licenses.WARRANTY_BSD)),
+        ("BSD-3-Clause", head + wrapped(bsd, " * ")),
+        ("BSD-3-Clause", head + wrapped(bsd.replace("1. R", "a. R").replace("2. R", "* R").replace("3. N", "(c) N"))),
+        ("BSL-1.0", wrapped(licenses.BOOST)),
+        ("Zlib", "zlib License\n\n(C) 1995-2024 Two Authors\n\n" + wrapped(licenses.ZLIB)),
+        ("Unlicense", wrapped(licenses.UNLICENSE + licenses.UNLICENSE_END)),
+        ("0BSD", head + wrapped(licenses.KNOWN[4][1])),
+        ("MIT-0", "Copyright 2024 A\n\n" + wrapped(licenses.KNOWN[1][1])),
+        (None, wrapped(licenses.MIT) + "\nCopyright notices stay in place."),
+        ("Own-1", "My own\n terms."),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs, known=[("Own-1", "my own terms")]).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(texts)}
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0"])
+def test_long_published_licenses(name):
+    """Where the system has the published texts, their digests are those of the table, however they are wrapped."""
+    from pathlib import Path
+
+    path = Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("no published texts here")
+    text = path.read_text(errors="replace")
+    known = dict(licenses.digests())
+    assert known[licenses.digest_of(text)].startswith(name)
+    assert known[licenses.digest_of("\n".join("// " + x for x in text.upper().split("\n")))].startswith(name)
+
+
 def test_intermediate_tables_are_removed(spark):
     from pathlib import Path
 

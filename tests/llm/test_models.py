@@ -174,6 +174,17 @@ def test_op7(spark, documents):
     assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
 
 
+def test_shards_keep_columns_that_clash(spark):
+    rows = [(k, 10 + k % 3, k + 1, k + 2, k + 3, k + 4, k + 5, "x") for k in range(50)]
+    df = spark.createDataFrame(rows, "id long, size long, `index` long, part long, begin long, shard long, slot long, `odd name` string").repartition(3)
+    out = sharding.contiguous_shards(df, "size", ["id"], 4)
+    assert out.columns == ["id", "size", "index", "part", "begin", "shard_", "slot_", "odd name", "shard", "slot"]
+    got = sorted(map(tuple, out.collect()))
+    assert [r[:8] for r in got] == rows
+    assert [r[8] for r in got] == sorted(r[8] for r in got)
+    assert [r[9] for r in got] == [k - min(j for j in range(50) if got[j][8] == r[8]) for k, r in enumerate(got)]
+
+
 def test_sharding_odd_rows(spark, odd, nothing):
     rows = sharding.shard_documents(odd, 4).collect()
     assert len(rows) == odd.count()

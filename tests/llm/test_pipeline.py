@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+import zlib
+from pathlib import Path
+
 import corpus_pipeline as pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+import plain
+from test_similar import classes
 
 from tabflow.llm import neardup, neighbours, packing, passages, toxicity
 from tabflow.llm.common import settled
@@ -48,8 +58,8 @@ def test_rejections_take_effect(spark, stages):
 
 def test_one_of_each_class_stays(stages):
     before, after = stages["simhash_near_dedup"]
-    classes = neardup.near_duplicates(before, 5, 4, 16)
-    assert ids(after) == {r.component_id for r in classes.collect()}
+    found = neardup.near_duplicates(before, 5, 4, 16)
+    assert ids(after) == {r.component_id for r in found.collect()}
     assert after.count() == after.select("text").distinct().count()
 
 
@@ -79,6 +89,86 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, stages["best_fit_packing"][1].collect()))
 
 
+def texts(df):
+    return {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
+
+
+def test_rejections_by_plain_scores(spark, stages):
+    """Both filters against scores in loops over single texts (the lexicon and its weights are the trained ones)."""
+    labels = pipeline.labels(spark, SF_DIR)
+    before, after = stages["toxicity"]
+    model = toxicity.train(before, labels)
+    assert ids(after) == {i for i, t in texts(before).items() if plain.toxic_score(model, t) < 0.5}
+    before, after = stages["quality_classifier"]
+    own = plain.Quality(sorted(texts(before).items()), {r.doc_id: r.quality for r in labels.collect()})
+    kept = ids(after)
+    for i, t in texts(before).items():
+        low, high = own.bounds(t)
+        assert i in kept if low > 0.302 else i not in kept if high < 0.298 else True
+
+
+def test_near_copies_by_all_pairs(stages):
+    before, after = stages["simhash_near_dedup"]
+    assert ids(after) == set(classes(texts(before).items()).values())
+
+
+def test_repeats_by_plain_search(stages):
+    """What stays of each text are the characters that no repeated 100 bytes touch, by a set of all windows."""
+    before, after = stages["suffix_array_dedup"]
+    kept, seen = texts(after), set()
+    for i, t in sorted(texts(before).items()):
+        data = t.encode()
+        covered = bytearray(len(data))
+        for k in range(len(data) - 99):
+            window = hash(data[k : k + 100])
+            if window in seen:
+                covered[k : k + 100] = b"\1" * 100
+            seen.add(window)
+        at, own = 0, []
+        for c in t:
+            size = len(c.encode())
+            if not any(covered[at : at + size]):
+                own.append(c)
+            at += size
+        assert kept[i] == "".join(own)
+
+
+def test_packing_by_plain_rule(stages):
+    """Pieces by the tokenizer itself; places by the sum of squares, counted anew for every choice."""
+    before, after = stages["best_fit_packing"]
+    tokenizer = Tokenizer.from_file(pipeline.public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    expected = []
+    for i, t in texts(before).items():
+        own = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        expected += [(i, k, 2048 * k, len(p), zlib.crc32(np.array(p, "<u4").tobytes())) for k in range(-(-len(own) // 2048)) for p in [own[2048 * k : 2048 * (k + 1)]]]
+    rows = after.collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(expected)
+    bins: dict[int, list] = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in bins.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+        assert sum(n for _, n in own) <= 2048
+    open_: list[int] = []
+    for length in sorted((n for *_, n, _ in expected), reverse=True):
+        count = lambda gaps: sum(gaps.count(g) ** 2 for g in set(gaps) if g)
+        choices = []
+        for g in set(open_):
+            if g >= length:
+                k = open_.index(g)
+                choices.append((count([*open_[:k], g - length, *open_[k + 1 :]]), 0, g, k))
+        choices.append((count([*open_, 2048 - length]), 1, 2048, -1))
+        _, new, g, k = min(choices)
+        if new:
+            open_.append(2048 - length)
+        else:
+            open_[k] = g - length
+    assert len(bins) == len(open_)
+
+
 def test_odd_and_empty_tables(spark, odd, nothing, tmp_path):
     odd.sparkSession.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for table in (odd, nothing):
