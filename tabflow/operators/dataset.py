@@ -160,29 +160,33 @@ class Dataset:
     def pivot(self, horizontal: Sequence[str], vertical: Sequence[str], values: Sequence[str]) -> Dataset:
         """Spreads already grouped rows: a column for each combination of horizontal cells and value column.
 
-        Its name joins the cells and the value column's name by ``_``; of several rows
-        for one cell, one stays.  The combinations are listed first (at most
-        MOST_COLUMNS), so that their order is the same in every run.
+        Combinations differ where any cell does, empty and "" too.  A column's name joins the
+        cells and the value column's name by ``_``, with a letter behind it where two would be
+        alike; of several rows for one cell, the last counts.  The combinations are listed
+        first (at most MOST_COLUMNS), so that their order is the same in every run.
         """
         across, down, cells = self._own(horizontal), self._own(vertical), self._own(values)
         if not across:
             return self
-        label = F.concat(*(x for c in across for x in (F.coalesce(self._text(c), F.lit("")), F.lit("_"))))
-        name = new_name("__label", self.columns)
-        rows = self.df.withColumn(name, label)
-        labels = [r[0] for r in rows.select(name).distinct().orderBy(name).limit(MOST_COLUMNS + 1).collect()]
-        if len(labels) > MOST_COLUMNS:
+        texts = [self._text(c) for c in across]
+        # Texts behind their lengths: no two combinations have the same key.
+        key = F.concat(*(F.coalesce(F.concat(F.char_length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in texts))
+        label = F.concat(*(x for c in texts for x in (F.coalesce(c, F.lit("")), F.lit("_"))))
+        name, place = new_name("__key", self.columns), new_name("__place", self.columns)
+        rows = self.df.withColumns({name: key, place: F.monotonically_increasing_id()})
+        found = self.df.select(key.alias("key"), label.alias("label")).distinct().orderBy("label", "key").limit(MOST_COLUMNS + 1).collect()
+        if len(found) > MOST_COLUMNS:
             raise ValueError(f"a pivot would make over {MOST_COLUMNS} columns")
         # Conditional aggregates rather than a two-step pivot: one shuffle, partly aggregated first.
         used = list(down)
         columns = []
-        for x in labels:
+        for x in found:
             for c in cells:
-                column = new_name(x + c, used)
+                column = new_name(x["label"] + c, used)
                 used.append(column)
-                columns.append(F.first(F.when(F.col(name) == x, F.col(quoted(c))), ignorenulls=True).alias(column))
+                columns.append(F.max_by(F.col(quoted(c)), F.when(F.col(name) == x["key"], F.col(place))).alias(column))
         grouped = rows.groupBy(*(quoted(c) for c in down))
-        return self._with(grouped.agg(*columns) if columns else rows.select(*down).distinct())
+        return self._with(grouped.agg(*columns) if columns else self.df.select(*(quoted(c) for c in down)).distinct())
 
     def _text(self, column: str) -> Column:
         return v.text(v.from_column(self.df[quoted(column)], self.df.schema[column].dataType), self.strict)
@@ -242,7 +246,8 @@ class Dataset:
 
         If the right table has no new column, the left one is returned as it is.
         Equalities between the sides become join keys, which Catalyst shuffles or sends as
-        sizes tell; a join without any sends the smaller side only if it is small.
+        sizes tell.  A join without any sends the right side only if it is small; a larger one
+        is joined block by block, and for a left join the rows that met none are added.
         """
         if join.type not in ("left", "inner"):
             raise ValueError(f"no join type {join.type}")
@@ -259,10 +264,16 @@ class Dataset:
         ctx = context(left, strict=self.strict or join.nulls_match)
         ctx.foreign = {c.lower(): v.from_column(other[a], right.schema[c].dataType) for c, a in alias.items()}
         condition = reduce(lambda a, b: a & b, (compile_condition(c, ctx) for c in conjuncts(tree)), F.lit(True))
-        if not equi(tree):
-            other = sent_if_small(other)
-        out = left.join(other, condition, join.type)
-        return self._with(out.select(*(left[quoted(c)] for c in left.columns), *(other[alias[c]].alias(c) for c in new)))
+        columns = [*(left[quoted(c)] for c in left.columns), *(other[alias[c]].alias(c) for c in new)]
+        if equi(tree) or join.type == "inner" or is_small(other):
+            return self._with(left.join(F.broadcast(other) if not equi(tree) and is_small(other) else other, condition, join.type).select(*columns))
+        # Spark would send the right side of a left join without keys, however large: rows that
+        # meet some are found by an inner join, the others by their cells.
+        met = left.join(other, condition, "inner").select(*columns)
+        mine_met = met.select(*(F.col(quoted(c)).alias(f"__met{k}") for k, c in enumerate(left.columns))).distinct()
+        same = reduce(lambda a, b: a & b, (left[quoted(c)].eqNullSafe(F.col(f"__met{k}")) for k, c in enumerate(left.columns)), F.lit(True))
+        alone = left.join(mine_met, same, "left_anti")
+        return self._with(met.unionByName(alone, allowMissingColumns=True))
 
     # results
 
@@ -301,10 +312,9 @@ def equi(tree: Node) -> bool:
     return False
 
 
-def sent_if_small(df: DataFrame) -> DataFrame:
-    """A broadcast hint, if the optimizer's own estimate of the table's size allows."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= SENT_BYTES else df
+def is_small(df: DataFrame) -> bool:
+    """Whether the optimizer's own estimate of the table's size allows to send it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SENT_BYTES
 
 
 def union_all(parts: Sequence[Dataset]) -> Dataset:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import values as v
 from ..functions.aggregates import Aggregator
 from ..functions.compiler import compile_formula
+from .kept import kept
 from .names import new_name
 
 if TYPE_CHECKING:
@@ -48,7 +49,7 @@ def running_table(table: Dataset, values: Mapping[str, Aggregator], by: Sequence
     order = [F.col(k).asc_nulls_first() if o.ascending else F.col(k).desc_nulls_last() for k, o in zip(keys, by, strict=True)] + [F.col(tie)]
     # One exchange by range; the number of the partition is then a key that keeps rows where they are together.
     ranged = df.withColumns(columns).repartitionByRange(n, *order).withColumn(part, F.spark_partition_id())
-    ranged = ranged.persist()  # the same partitions serve totals and rows; it spills to disk and is recomputed if lost
+    ranged = kept(ranged)  # the same partitions serve totals and rows
 
     def states(a: Aggregator, c: str) -> dict[str, object]:
         match a.reducer:

@@ -13,6 +13,7 @@ from ..functions.aggregates import Aggregator
 from ..functions.formula import Binary, Call, Literal, parse, to_formula
 from . import pieces
 from .dataset import Dataset, Join, Order
+from .kept import kept
 from .names import new_name
 
 KINDS: dict[str, type[Step]] = {}
@@ -372,10 +373,10 @@ class Crawl(Step):
 
 @step
 class Cache(Step):
-    """Keeps the table so far, in memory and on disk, for what follows."""
+    """Keeps the table so far, in memory and on disk, for what follows, until ``kept.release()``."""
 
     def apply(self, table, run):
-        return table._with(table.df.persist())
+        return table._with(kept(table.df))
 
 
 @step
@@ -403,7 +404,7 @@ class Debug(Step):
 
     def apply(self, table, run):
         if self.effect == "materialize":
-            table = table._with(table.df.persist())
+            table = table._with(kept(table.df))
             table.df.count()
         elif self.effect == "delay":
             import time

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import Aggregator
 from ..functions.sequencer import range_table, sequence_table
+from ..functions.sql import register_functions
 from ..operators import pieces
 from ..operators.dataset import Dataset, Join, Order
-from ..operators.steps import Calculate, Chain, Clone, Filter, JoinChain, Merge, Pivot, Rename, Source, Workspace
+from ..operators.steps import Cache, Calculate, Chain, Clone, Debug, ExplodeVertically, Export, Filter, JoinChain, Merge, Pivot, RemoveColumns, Rename, Rows, SelectColumns, Source, Workspace, suggest_filters
 from ..operators.tables import Table
-from ..sources import registry, scratch
+from ..sources import databases, registry, scratch
 from ..sources.crawl import crawl
 from ..streaming import micro
 
@@ -353,7 +354,7 @@ register("string_functions", formulas("part", "p_partkey", {
     "f_amp": ('p_name&"/"&p_size', "p_name || '/' || p_size"), "f_replace": ('REPLACE(p_name;"e";"E")', "replace(p_name, 'e', 'E')"),
     "f_pattern": ('REPLACE.PATTERN(p_name;"[aeiou]+";"*")', "regexp_replace(p_name, '[aeiou]+', '*', 'g')"), "f_similar": ("SIMILARITY(p_name;p_type)", "levenshtein(p_name, p_type)"),
     "f_number": ('READ.NUMBER(p_size&".250,5";",";".")', "p_size * 1000 + 250.5"), "f_url": ('ENCODEURL(p_name&"%/x")', "replace(p_name, ' ', '%20') || '%25/x'"),
-    "f_sum": ("SUM(p_size;p_retailprice)", "p_size + p_retailprice"), "f_proper": ('PROPER("van DER vorst")', "'Van Der Vorst'"),
+    "f_sum": ("SUM(p_size;p_retailprice)", "p_size + p_retailprice"), "f_proper": ('PROPER("large STEEL box")', "'Large Steel Box'"),
 }))
 register("math_functions", formulas("lineitem", "l_orderkey", {
     "line": ("l_linenumber+0", "l_linenumber::DOUBLE"),
@@ -531,3 +532,174 @@ def stream_groups(spark, sf_dir):
     running = kept.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch.folder(spark)).trigger(availableNow=True).start()
     running.awaitTermination()
     return Dataset(spark.table(name)).calculate({"total": "ROUND(@;4)"}).df
+
+
+# --- more operators, functions and sources ------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 49 AND l_returnflag <> 'N'")
+def filter_comparisons(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").filter('AND(l_quantity>=49;l_returnflag<>"N")').select(["l_orderkey", "l_linenumber"]).df
+
+
+register("trigonometry", formulas("lineitem", "l_orderkey", {
+    "line": ("IDENTITY(l_linenumber)+0", "l_linenumber::DOUBLE"), "f_negate": ("NEGATE(l_quantity)", "-l_quantity"), "f_tan": ("ROUND(TAN(l_discount);9)", "round(tan(l_discount), 9)"),
+    "f_cosh": ("ROUND(COSH(l_discount);9)", "round(cosh(l_discount), 9)"), "f_sinh": ("ROUND(SINH(l_discount);9)", "round(sinh(l_discount), 9)"), "f_asin": ("ROUND(ASIN(l_discount);9)", "round(asin(l_discount), 9)"),
+}))
+register("date_serials", formulas("orders", "o_orderkey", {
+    "f_serial": ("TO.ISO8601.UTC(FROM.EXCELDATE(TO.EXCELDATE(o_orderdate)))", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')"), "f_local": ("LEFT(TO.ISO8601(o_orderdate);19)", "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')"),
+    "f_now": ("NOW()>o_orderdate", "true"),
+}))
+register("random_functions", formulas("orders", "o_orderkey", {
+    "f_between": ("AND(RANDBETWEEN(3;5)>=3;RANDBETWEEN(3;5)<=5)", "true"), "f_rand": ("AND(RAND()>=0;RAND()<1)", "true"), "f_item": ('RANDITEM("a";o_orderstatus)±±="^[aFOP]$"', "true"),
+    "f_string": ('RANDSTRING("[A-C]{4}")±±="^[A-C]{4}$"', "true"), "f_uuid": ("LENGTH(UUID())", "36::BIGINT"),
+}))
+
+
+@query("""SELECT coalesce(s, '') || '/' || coalesce(t, '') AS both, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'a_b' ELSE 'a' END AS s, CASE WHEN o_orderkey % 3 = 0 THEN 'c' WHEN o_orderkey % 3 = 1 THEN 'b_c' END AS t FROM orders) GROUP BY 1""")
+def pivot_alike_labels(spark, sf_dir):
+    """Combinations of cells whose names would be alike stay columns of their own."""
+    rows = table(spark, sf_dir, "orders").calculate({"s": 'IF(o_orderkey~3=0;"a_b";"a")', "t": 'IF(o_orderkey~3=0;"c";IF(o_orderkey~3=1;"b_c";NULL))', "one": "1"})
+    grouped = rows.aggregate({"one": "one", "s": "s", "t": "t"}, {"n": Aggregator("1", "countAll")})
+    wide = grouped.pivot(["s", "t"], ["one"], ["n"])
+    names = {c: c for c in wide.columns if c != "one"}
+    both = {c: ("a_b/c" if k == 1 else "a/b_c") if c.startswith("a_b_c_n") else "a/" for k, c in enumerate(sorted(names, reverse=True))}
+    return wide.select(list(names)).rename(both).flatten("n", "both").df
+
+
+@query("SELECT n_name, n_regionkey FROM nation")
+def select_remove_columns(spark, sf_dir):
+    """Columns in the order the table has them, whatever the order asked."""
+    chain = Chain([Source("parquet", {"path": f"{sf_dir}/nation.parquet"}), SelectColumns(["n_regionkey", "N_NAME", "n_nationkey"]), RemoveColumns(["n_nationkey", "none"])])
+    return Workspace({"c": chain}).full(spark, "c").df
+
+
+@query("""SELECT n_nationkey, 'lines' AS mode, unnest([n_name, 'x']) AS piece FROM nation UNION ALL SELECT n_nationkey, 'packed', unnest([n_name, 'a,b']) FROM nation
+    UNION ALL SELECT n_nationkey, 'listed', unnest(string_split(n_name, 'A')) FROM nation""")
+def explode_modes(spark, sf_dir):
+    """Pieces by line ends, of packed cells and of lists."""
+    rows = table(spark, sf_dir, "nation").calculate({"lf": 'n_name&"\nx"', "pack": 'PACK({n_name;"a,b"})', "list": 'SPLIT(n_name;"A")'})
+    parts = []
+    for mode, column, name in (("lf", "lf", "lines"), ("pack", "pack", "packed"), ("list", "list", "listed")):
+        down = ExplodeVertically(column, mode).apply(rows, None).calculate({"mode": f'"{name}"'}).rename({column: "piece"})
+        parts.append(down.select(["n_nationkey", "mode", "piece"]))
+    return parts[0].union(parts[1]).union(parts[2]).df
+
+
+@query("SELECT * FROM (VALUES ('a', 1::BIGINT, 0.5::DOUBLE), ('b', NULL, 1.5), (NULL, 3, NULL)) t(name, n, x)")
+def literal_rows(spark, sf_dir):
+    return Workspace({"r": Chain([Rows("name string, n long, x double", [["a", 1, 0.5], ["b", None, 1.5], [None, 3, None]])])}).full(spark, "r").df
+
+
+@query("SELECT string_agg(r_name, chr(10) ORDER BY r_name) || chr(10) AS Data FROM region")
+def whole_text_source(spark, sf_dir):
+    """A file of lines as one cell."""
+    path = scratch.folder(spark)
+    table(spark, sf_dir, "region").df.select("r_name").orderBy("r_name").coalesce(1).write.text(path)
+    return registry.read(spark, "text", path=f"{path}/part-*")
+
+
+@query("SELECT r_name AS line FROM region")
+def http_source(spark, sf_dir):
+    """What an address returns, as one cell, cut into lines; the fetcher stands for the network."""
+    names = sorted(r.r_name for r in table(spark, sf_dir, "region").df.collect())
+    body = Dataset(registry.read(spark, "http", url="http://localhost/names", fetcher=lambda address: (200, "\n".join(names))))
+    return pieces.explode_down(body, "Data", "lf").rename({"Data": "line"}).df
+
+
+@query("SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS finished FROM orders GROUP BY 1")
+def cached_and_exported(spark, sf_dir):
+    """A chain that keeps its table, computes it, writes it on the way and goes on; the file is read back."""
+    path = scratch.folder(spark)
+    chain = Chain([
+        Source("parquet", {"path": f"{sf_dir}/orders.parquet"}), Cache(), Debug("materialize"), Calculate("finished", 'IF(o_orderstatus="F";1;0)'),
+        Pivot(["o_orderpriority"], [], {"n": {"formula": "1", "reducer": "countAll"}, "finished": {"formula": "finished", "reducer": "sum"}}),
+        Export("csv", path, {"separator": ";"}), Filter("n<0"),
+    ])
+    assert Workspace({"c": chain}).full(spark, "c").rows() == []
+    return Dataset(registry.read(spark, "csv", path=path)).df
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 1000 AND s_name >= 'Supplier#000000020' AND s_nationkey IN (1, 2, 3, 5, 8)")
+def sqlite_filtered(spark, sf_dir):
+    """Filters that SQLite evaluates, over a view that keeps all columns of a table."""
+    import sqlite3
+
+    path = scratch.local_path(spark, ".sqlite")
+    registry.write(table(spark, sf_dir, "supplier").df, "sqlite", path, table="suppliers")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE VIEW known AS SELECT * FROM suppliers")
+    rows = Dataset(registry.read(spark, "sqlite", path=path, table="known", columns=["s_suppkey", "s_name", "s_acctbal", "s_nationkey"]))
+    return rows.filter('AND(s_acctbal>1000;s_name>="Supplier#000000020";IN(s_nationkey;1;2;3;5;8))').select(["s_suppkey", "s_name", "s_acctbal"]).df
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def related_tables(spark, sf_dir):
+    """A join that a database's foreign key suggests."""
+    import sqlite3
+
+    path = scratch.local_path(spark, ".sqlite")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE region (r_regionkey INTEGER PRIMARY KEY, r_name TEXT)")
+        db.execute("CREATE TABLE nation (n_nationkey INT, n_regionkey INT REFERENCES region(r_regionkey))")
+    registry.write(table(spark, sf_dir, "region").df, "sqlite", path, table="region", mode="append")
+    registry.write(table(spark, sf_dir, "nation").select(["n_nationkey", "n_regionkey"]).df, "sqlite", path, table="nation", mode="append")
+    ((other, formula),) = databases.related_tables(path, "nation")
+    read = lambda name: Dataset(registry.read(spark, "sqlite", path=path, table=name))
+    return read("nation").join(Join(read(other), formula, "inner")).select(["n_nationkey", "r_name"]).df
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey > 5")
+def jdbc_round_trip(spark, sf_dir):
+    """A table created and filled over JDBC, read by ranges of its key; the database is the one Spark brings, in memory."""
+    url = f"jdbc:derby:memory:{scratch.folder(spark)[-12:]};create=true"
+    registry.write(table(spark, sf_dir, "supplier").df.select("s_suppkey", "s_name", "s_acctbal"), "jdbc", url, table="SUPPLIERS", mode="overwrite")
+    rows = Dataset(registry.read(spark, "jdbc", url=url, table="SUPPLIERS", key="S_SUPPKEY", partitions=4))
+    return rows.filter("s_suppkey>5").df
+
+
+@query("SELECT r_regionkey AS key, r_name AS name FROM region WHERE r_regionkey >= 3")
+def stored_table_life(spark, sf_dir):
+    """Rename, refuse to set a computed column, truncate, fill again, drop."""
+    own = Table.create(table(spark, sf_dir, "region").df, scratch.folder(spark), ["r_regionkey"])
+    own.rename({"r_regionkey": "key", "r_name": "name"})
+    whole = own.read()
+    try:
+        Table(spark, own.path, computed=["name"]).update({"key": 1}, "name", "x", "y")
+    except ValueError:
+        own.truncate()
+    own.import_rows(whole.filter("key >= 3"), {"key": "key", "name": "name"})
+    own.vacuum()
+    gone = Table.create(own.read(), scratch.folder(spark))
+    gone.drop()
+    return own.read()
+
+
+@query("SELECT count(*) AS rows, ceil(count(*) / 256)::BIGINT AS batches FROM orders")
+def batches_of_rows(spark, sf_dir):
+    """Rows as they come, 256 at a time."""
+    sizes = [len(b) for b in table(spark, sf_dir, "orders").select(["o_orderkey"]).batches(256)]
+    return spark.createDataFrame([(sum(sizes), len(sizes))], "rows long, batches long")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 2")
+def suggested_filters(spark, sf_dir):
+    """Filters like a row that was picked, as steps."""
+    steps = [Source("parquet", {"path": f"{sf_dir}/customer.parquet"}), *suggest_filters({"c_mktsegment": "BUILDING", "c_nationkey": 2}), SelectColumns(["c_custkey", "c_name"])]
+    return Workspace({"s": Chain(steps)}).full(spark, "s").df
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def dissect_json(spark, sf_dir):
+    """The formula for a path into JSON cells."""
+    return table(spark, sf_dir, "events").calculate({"k": pieces.dissect(["k"], "props") + '&""'}).select(["event_id", "k"]).df
+
+
+@query("SELECT p_partkey, upper(p_name) AS up, left(p_brand, 5) AS brand, round(sqrt(p_size), 6) AS root, 2020 AS year FROM part WHERE levenshtein(p_name, p_type) > 8")
+def sql_functions(spark, sf_dir):
+    """Functions of formulas, as functions of SQL."""
+    register_functions(spark)
+    return spark.sql(
+        "SELECT p_partkey, f_upper(p_name) AS up, f_left(p_brand, 5) AS brand, round(f_sqrt(p_size), 6) AS root, int(f_year_utc(timestamp'2020-05-06 07:08:09')) AS year FROM {part} WHERE f_similarity(p_name, p_type) > 8",
+        part=table(spark, sf_dir, "part").df,
+    )

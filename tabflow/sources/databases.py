@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote_plus
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringStartsWith
 
 from ..functions import values as v
 from ..functions.compiler import quoted
@@ -30,33 +33,98 @@ def sqlite_type(declared: str) -> T.DataType:
 
 
 class Rows(InputPartition):
-    def __init__(self, low: int, high: int):
+    """The rowids from low up to high, or all rows."""
+
+    def __init__(self, low: int | None = None, high: int | None = None):
         self.low, self.high = low, high
 
 
+def condition(f: Filter, kinds: dict[str, T.DataType]) -> tuple[str, list] | None:
+    """SQL that holds for every row that Spark's filter lets through, or None where there is no such.
+
+    Spark applies its filters again: cells that do not fit their column's type are empty to it.
+    """
+    name = getattr(f, "attribute", ())
+    if len(name) != 1 or name[0] not in kinds:
+        return None
+    column, kind = quote(name[0]), kinds[name[0]]
+    if isinstance(f, IsNotNull):
+        return f"{column} IS NOT NULL", []
+    values = list(f.value) if isinstance(f, In) else [getattr(f, "value", None)]
+    fits = {T.LongType: int, T.DoubleType: (int, float), T.StringType: str, T.BooleanType: bool}.get(type(kind))
+    if fits is None or not all(isinstance(x, fits) for x in values):
+        return None
+    if isinstance(kind, T.BooleanType):
+        return (f"{column} <> 0" if values[0] else f"{column} = 0", []) if isinstance(f, EqualTo) else None
+    if isinstance(kind, T.StringType):
+        column += " COLLATE BINARY"
+    sign = {EqualTo: "=", EqualNullSafe: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}.get(type(f))
+    if sign:
+        return f"{column} {sign} ?", values
+    if isinstance(f, In):
+        return f"{column} IN ({', '.join('?' * len(values))})", values
+    if isinstance(f, StringContains):
+        return f"instr({quote(name[0])}, ?) > 0", values
+    if isinstance(f, StringStartsWith):
+        return f"substr({quote(name[0])}, 1, ?) = ? COLLATE BINARY", [len(values[0]), values[0]]
+    return None
+
+
 class SQLiteReader(DataSourceReader):
-    """Reads ranges of rowids, one a task."""
+    """Reads ranges of rowids, one a task; a view, or a table without rowids, in one task.
+
+    Filters that SQLite can evaluate go into its query, where its indexes serve them.
+    """
 
     def __init__(self, options: dict, schema: T.StructType):
         self.options, self.own = options, schema
+        self.pushed: list[tuple[str, list]] = []
 
     def connect(self) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        kinds = {f.name: f.dataType for f in self.own}
+        # A column without a declared type holds any cells, and Spark sees them as texts: SQLite would not.
+        kinds = {n: k for n, k in kinds.items() if n not in self.loose()}
+        for f in filters:
+            known = condition(f, kinds)
+            if known:
+                self.pushed.append(known)
+            yield f
+
+    def loose(self) -> set[str]:
+        with self.connect() as db:
+            declared = db.execute(f"PRAGMA table_info({quote(self.options['table'])})").fetchall()
+        return {r[1] for r in declared if isinstance(sqlite_type(r[2] or ""), T.StringType) and not any(x in (r[2] or "").upper() for x in ("CHAR", "CLOB", "TEXT"))}
+
     def partitions(self) -> list[Rows]:
         with self.connect() as db:
-            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quote(self.options['table'])}").fetchone()
-        if low is None:
-            return [Rows(0, 0)]
+            kind = db.execute("SELECT type FROM sqlite_master WHERE name = ? COLLATE NOCASE", (self.options["table"],)).fetchone()
+            if not kind or kind[0] != "table":
+                return [Rows()]
+            try:
+                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {quote(self.options['table'])}").fetchone()
+            except sqlite3.OperationalError:
+                return [Rows()]
+        if not isinstance(low, int) or not isinstance(high, int):  # no rows, or a column of that name
+            return [Rows()]
         n = max(1, int(self.options.get("partitions", 8)))
         step = max(1, -(-(high - low + 1) // n))
         return [Rows(a, a + step) for a in range(low, high + 1, step)]
 
+    def query(self, partition: Rows) -> tuple[str, list]:
+        parts = list(self.pushed)
+        if partition.low is not None:
+            parts.append(("rowid >= ? AND rowid < ?", [partition.low, partition.high]))
+        names = ", ".join(quote(f.name) for f in self.own) or "NULL"
+        where = " WHERE " + " AND ".join(f"({c})" for c, _ in parts) if parts else ""
+        return f"SELECT {names} FROM {quote(self.options['table'])}{where}", [x for _, given in parts for x in given]
+
     def read(self, partition: Rows) -> Iterator[tuple]:
-        names = ", ".join(quote(f.name) for f in self.own)
         kinds = [f.dataType for f in self.own]
         with self.connect() as db:
-            for row in db.execute(f"SELECT {names} FROM {quote(self.options['table'])} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high)):
+            for row in db.execute(*self.query(partition)):
                 yield tuple(self.cell(x, k) for x, k in zip(row, kinds, strict=True))
 
     @staticmethod
@@ -73,7 +141,7 @@ class SQLiteReader(DataSourceReader):
                 return float(x) if isinstance(x, (int, float)) else None
             case T.BinaryType():
                 return x if isinstance(x, bytes) else None
-        return x if isinstance(x, str) else str(x)
+        return x if isinstance(x, str) else str(x) if isinstance(x, (int, float)) else None
 
 
 class SQLiteSource(DataSource):
@@ -88,15 +156,22 @@ class SQLiteSource(DataSource):
             found = db.execute(f"PRAGMA table_info({quote(self.options['table'])})").fetchall()
         if not found:
             raise ValueError(f"no table {self.options['table']}")
-        return T.StructType([T.StructField(r[1], sqlite_type(r[2] or "")) for r in found])
+        wanted = {c.lower() for c in json.loads(self.options.get("columns", "[]"))}
+        return T.StructType([T.StructField(r[1], sqlite_type(r[2] or "")) for r in found if not wanted or r[1].lower() in wanted])
 
     def reader(self, schema: T.StructType) -> SQLiteReader:
         return SQLiteReader(dict(self.options), schema)
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int = 8) -> DataFrame:
+def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int = 8, columns: Sequence[str] | None = None) -> DataFrame:
+    """A table or view of a SQLite file; of ``columns`` only those are fetched, all without.
+
+    Filters on it are evaluated by SQLite too.  Spark does not tell a source in Python which
+    columns a query reads, hence their list.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SQLiteSource)
-    return spark.read.format("sqlite_table").option("path", path).option("table", table).option("partitions", partitions).load()
+    return spark.read.format("sqlite_table").option("path", path).option("table", table).option("partitions", partitions).option("columns", json.dumps(list(columns or []))).load()
 
 
 def write_sqlite(df: DataFrame, path: str, table: str, mode: str = "overwrite", batch: int = 1_000) -> None:
@@ -145,17 +220,64 @@ def related_tables(path: str, table: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Drivers and the options with which they send many rows at once (fixed values).
+DIALECTS: dict[str, tuple[str, int, dict[str, str]]] = {
+    "mysql": ("com.mysql.cj.jdbc.Driver", 3306, {"rewriteBatchedStatements": "true"}),
+    "mariadb": ("org.mariadb.jdbc.Driver", 3306, {"useBulkStmts": "true"}),
+    "postgresql": ("org.postgresql.Driver", 5432, {"reWriteBatchedInserts": "true"}),
+}
+
+
+def jdbc_url(kind: str, host: str, database: str, port: int | None = None) -> str:
+    """The address of a MySQL, MariaDB or PostgreSQL database, as its driver wants it."""
+    if kind not in DIALECTS:
+        raise ValueError(f"no database kind {kind}")
+    host = f"[{host}]" if ":" in host else host
+    return f"jdbc:{kind}://{host}:{port or DIALECTS[kind][1]}/{quote_plus(database)}"
+
+
+def jdbc_options(url: str, user: str | None = None, password: str | None = None) -> dict[str, str]:
+    """What reader and writer need besides the table: driver, who asks, and the driver's way to send many rows."""
+    kind = url.split(":")[1] if url.startswith("jdbc:") else ""
+    driver, _, many = DIALECTS.get(kind, (None, 0, {}))
+    return {"url": url} | ({"driver": driver} if driver else {}) | many | ({"user": user} if user else {}) | ({"password": password} if password else {})
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, user: str | None = None, password: str | None = None, key: str | None = None, low: int | None = None, high: int | None = None, partitions: int = 8) -> DataFrame:
     """A table of MySQL, MariaDB, PostgreSQL and others whose driver is on Spark's classpath.
 
-    Filters and column choices are pushed to the database; with a numeric ``key`` and its
-    bounds, tasks read ranges of it.
+    Filters, column choices, limits and simple aggregates are pushed to the database; with a
+    numeric ``key``, tasks read ranges of it between its bounds, which are asked for if not given.
     """
-    options = {"url": url, "dbtable": table} | ({"user": user} if user else {}) | ({"password": password} if password else {})
+    options = jdbc_options(url, user, password) | {"dbtable": table, "pushDownAggregate": "true", "pushDownLimit": "true", "pushDownOffset": "true"}
+    if key is not None and (low is None or high is None):
+        ends = spark.read.format("jdbc").options(**options).load().agg(F.min(quoted(key)), F.max(quoted(key))).first()
+        low, high = ends[0] if low is None else low, ends[1] if high is None else high
     if key is not None and low is not None and high is not None:
-        options |= {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
+        options |= {"partitionColumn": key, "lowerBound": str(int(low)), "upperBound": str(int(high) + 1), "numPartitions": str(partitions)}
     return spark.read.format("jdbc").options(**options).load()
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
-    df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", user: str | None = None, password: str | None = None, batch: int = 10_000, **options: str) -> None:
+    """Creates or appends to a table: each task sends its rows in batches, in one transaction."""
+    df.write.format("jdbc").options(**(jdbc_options(url, user, password) | {"dbtable": table, "batchsize": str(batch)} | options)).mode(mode).save()
+
+
+def jdbc_related_tables(spark: SparkSession, url: str, table: str, user: str | None = None, password: str | None = None) -> list[tuple[str, str]]:
+    """(other table, join formula) for each foreign key of a table, by what its driver tells of any database."""
+    jvm = spark._jvm
+    who = jvm.java.util.Properties()
+    for k, x in jdbc_options(url, user, password).items():
+        if k not in ("url", "driver"):
+            who.setProperty(k, x)
+    db = jvm.java.sql.DriverManager.getConnection(url, who)
+    try:
+        found, keys = [], db.getMetaData().getImportedKeys(db.getCatalog(), None, table)
+        while keys.next():
+            found.append((keys.getString("PKTABLE_NAME"), keys.getString("FK_NAME"), keys.getString("FKCOLUMN_NAME"), keys.getString("PKCOLUMN_NAME")))
+    finally:
+        db.close()
+    parts: dict[tuple[str, str], list[str]] = {}
+    for other, name, mine, theirs in found:
+        parts.setdefault((other, name), []).append(f"[{mine}]=#[{theirs}]")
+    return [(other, p[0] if len(p) == 1 else f"AND({';'.join(p)})") for (other, _), p in parts.items()]

@@ -14,15 +14,22 @@ from ..functions.compiler import quoted
 from ..operators.names import default_name, new_name
 
 
-def read_csv(spark: SparkSession, path: str, separator: str = ";", header: bool = True, decimal: str = ".", grouping: str = "", infer: bool = True, encoding: str = "UTF-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, separator: str = ";", header: bool = True, decimal: str = ".", grouping: str = "", infer: bool = True, encoding: str = "UTF-8", quoted_lines: bool | None = None) -> DataFrame:
     """A CSV file; quoted fields may hold separators and line ends.
 
+    A file whose quoted fields hold line ends is read by one task, others are cut among
+    many: ``quoted_lines`` tells, or a pass over the lines finds out.
+
     Short rows are filled up with empties, long ones cut.  Repeated header names get a
     letter; without a header, columns are A, B, C.  All cells are read as texts in one
     pass; with ``infer`` a second pass finds columns whose cells are all whole numbers
     or all numbers (in the locale's signs).
     """
-    options = {"sep": separator, "quote": '"', "escape": '"', "multiLine": True, "encoding": encoding, "mode": "PERMISSIVE", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if quoted_lines is None:
+        # A field that goes on in the next line leaves an odd number of quotes in this one.
+        quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+        quoted_lines = encoding.upper() not in ("UTF-8", "US-ASCII", "ISO-8859-1") or not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    options = {"sep": separator, "quote": '"', "escape": '"', "multiLine": quoted_lines, "encoding": encoding, "mode": "PERMISSIVE", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     first = spark.read.options(**options, header=False, inferSchema=False).csv(path).limit(1).collect()
     if not first:
         return spark.createDataFrame([], T.StructType([]))

@@ -12,9 +12,11 @@ _OWN: list[tempfile.TemporaryDirectory] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset, in a temporary folder of this machine."""
+    """A new path under ``spark.checkpoint.dir``; only where that is unset and all tasks run here, in a temporary folder of this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.TemporaryDirectory(prefix="tabflow-"))
             atexit.register(_OWN[0].cleanup)

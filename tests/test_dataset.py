@@ -126,6 +126,46 @@ def test_pivot(spark):
     assert t.pivot([], ["r"], ["v"]) is t
 
 
+def test_pivot_keeps_alike_labels_apart(spark):
+    """Cells whose joined texts are alike, empties, and the last of several rows."""
+    t = Dataset(spark.createDataFrame([("a_b", "c", 1), ("a", "b_c", 2), ("", None, 3), (None, "", 4), ("1", "", 5), ("1", "", 6), ("1", "", None)], "s string, t string, v long").coalesce(1))
+    out = t.pivot(["s", "t"], [], ["v"])
+    assert len(out.columns) == len({c.lower() for c in out.columns}) == 5
+    assert sorted(out.rows()[0], key=repr) == [1, 2, 3, 4, None]
+    again = t.filter("NOT(ISEMPTY(v))").pivot(["s", "t"], [], ["v"])
+    assert sorted(again.rows()[0]) == [1, 2, 3, 4, 6]
+
+
+def test_left_joins_without_keys_send_no_large_side(spark, monkeypatch):
+    from tabflow.operators import dataset
+
+    a = Dataset(spark.createDataFrame([(1, "x"), (5, None), (5, None), (9, "z"), (None, "q")], "i long, s string"))
+    b = Dataset(spark.createDataFrame([(k, k * k) for k in range(8)], "j long, k long"))
+    small = a.join(Join(b, "AND(i<#j;#k>30)")).rows()
+    monkeypatch.setattr(dataset, "SENT_BYTES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = a.join(Join(b, "AND(i<#j;#k>30)"))
+        assert "BroadcastNestedLoop" not in large.df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, large.rows()), key=repr) == sorted(map(tuple, small), key=repr)
+        assert large.columns == ["i", "s", "j", "k"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_kept_tables_are_released(spark):
+    from tabflow.operators import kept
+
+    t = Dataset(spark.range(10)).rank({"n": Aggregator("1", "countAll")}, [Order("id")])
+    assert len(t.rows()) == 10
+    assert kept._KEPT
+    own = kept._KEPT[-1]
+    kept.release()
+    assert not kept._KEPT
+    assert not own.is_cached
+
+
 def test_flatten_and_transpose(spark):
     t = Dataset(spark.createDataFrame([("p", 1, 2), ("q", 3, 4)], "k string, a long, b long"))
     flat = t.flatten("value", "column", "[k]", "id")

@@ -22,23 +22,23 @@ CASES = [
     ('UPPER("abC")', "ABC"), ('LOWER("abC")', "abc"), ("NEGATE(3)", -3.0), ("ABS(-3)", 3.0), ("AND(TRUE;1)", True), ("AND()", True), ("AND(FALSE;ERROR)", False), ("AND(ERROR;FALSE)", INVALID), ("OR()", False), ("OR(TRUE;ERROR)", INVALID), ("OR(FALSE;TRUE)", True),
     ("XOR(TRUE;FALSE)", True), ("IF(TRUE;1;2)", 1), ("IF(1.5;1;2)", INVALID), ("IFERROR(1/0;9)", 9.0), ("IFERROR(NULL;9)", None), ("COALESCE(1/0;NULL;4)", 4.0), ('CHOOSE(2;"a";"b")', "b"), ('CHOOSE(3;"a";"b")', INVALID),
     ("IN(2;1;2)", True), ("IN(NULL;NULL)", True), ("NOT.IN(2;1;2)", False), ("NOT(FALSE)", True), ("ISEMPTY(NULL)", True), ("ISINVALID(1/0)", True), ("IDENTITY(4)", 4),
-    ("COS(0)", 1.0), ("SIN(0)", 0.0), ("TAN(0)", 0.0), ("COSH(0)", 1.0), ("SINH(0)", 0.0), ("TANH(0)", 0.0), ("ACOS(1)", 0.0), ("ACOS(1.337)", INVALID), ("ASIN(0)", 0.0), ("ATAN(0)", 0.0), ("SQRT(16)", 4.0), ("SQRT(-1)", INVALID),
-    ("EXP(0)", 1.0), ("LN(1)", 0.0), ("LN(0)", INVALID), ("LOG(1000)", 3.0), ("LOG(8;2)", 3.0), ("POWER(2;10)", 1024.0), ("ROUND(0.5)", 1), ("ROUND(2.5)", 3), ("ROUND(1.337;2)", 1.34), ("ROUND(1.5;-1)", INVALID), ("FLOOR(1.5)", 1.0), ("CEILING(1.5)", 2.0), ("SIGN(-2)", -1),
-    ("LEFT(1337;3)", "133"), ("LEFT(1337;5)", INVALID), ("RIGHT(1337;3)", "337"), ("RIGHT(1337;5)", INVALID), ("MID(1337;3;1)", "7"), ("MID(1337;0;99)", "1337"), ("MID(1337;5;1)", INVALID), ('LENGTH("tést")', 4), ('TRIM(" a\tb\n")', "a\tb"),
-    ('CONCAT("a";1;NULL)', "a1"), ('REPLACE("foobar";"o";"x")', "fxxbar"), ('REPLACE.PATTERN("foobar";"[fb]o+";"X")', "Xbar"), ('SPLIT("a.b.c";".")[3]', "c"), ('SIMILARITY("kitten";"sitting")', 3), ('SIMILARITY("";"abc")', 3),
-    ('ENCODEURL("tommy%/van DER vorst")', "tommy%25/van%20DER%20vorst"), ('PROPER("van DER vorst")', "Van Der Vorst"), ('READ.NUMBER("1.337,40";",";".")', 1337.4), ('READ.NUMBER("x")', INVALID),
-    ("YEAR.UTC(DATE.UTC(1988;3;22))", 1988), ("MONTH.UTC(DATE.UTC(1988;3;22))", 3), ("DAY.UTC(DATE.UTC(1988;3;22))", 22), ("HOUR.UTC(@3661)", 1), ("MINUTE.UTC(@3661)", 1), ("SECOND.UTC(@3661)", 1),
+    ("COS(0)", 1.0), ("SIN(0)", 0.0), ("TAN(0)", 0.0), ("COSH(0)", 1.0), ("SINH(0)", 0.0), ("TANH(0)", 0.0), ("ACOS(1)", 0.0), ("ACOS(2.5)", INVALID), ("ASIN(0)", 0.0), ("ATAN(0)", 0.0), ("SQRT(16)", 4.0), ("SQRT(-1)", INVALID),
+    ("EXP(0)", 1.0), ("LN(1)", 0.0), ("LN(0)", INVALID), ("LOG(1000)", 3.0), ("LOG(8;2)", 3.0), ("POWER(2;10)", 1024.0), ("ROUND(0.5)", 1), ("ROUND(2.5)", 3), ("ROUND(2.718;2)", 2.72), ("ROUND(1.5;-1)", INVALID), ("FLOOR(1.5)", 1.0), ("CEILING(1.5)", 2.0), ("SIGN(-2)", -1),
+    ("LEFT(2468;3)", "246"), ("LEFT(2468;9)", INVALID), ("RIGHT(2468;3)", "468"), ("RIGHT(2468;9)", INVALID), ("MID(2468;2;1)", "6"), ("MID(2468;0;50)", "2468"), ("MID(2468;6;1)", INVALID), ('LENGTH("tést")', 4), ('TRIM(" a\tb\n")', "a\tb"),
+    ('CONCAT("a";1;NULL)', "a1"), ('REPLACE("balloon";"o";"0")', "ball00n"), ('REPLACE.PATTERN("balloon";"[al]l+";"-")', "b-oon"), ('SPLIT("a.b.c";".")[3]', "c"), ('SIMILARITY("kitten";"sitting")', 3), ('SIMILARITY("";"abc")', 3),
+    ('ENCODEURL("blue%/old CAR park")', "blue%25/old%20CAR%20park"), ('PROPER("old CAR park")', "Old Car Park"), ('READ.NUMBER("8.250,75";",";".")', 8250.75), ('READ.NUMBER("x")', INVALID),
+    ("YEAR.UTC(DATE.UTC(2011;7;30))", 2011), ("MONTH.UTC(DATE.UTC(2011;7;30))", 7), ("DAY.UTC(DATE.UTC(2011;7;30))", 30), ("HOUR.UTC(@3661)", 1), ("MINUTE.UTC(@3661)", 1), ("SECOND.UTC(@3661)", 1),
     ("TO.ISO8601.UTC(DATE.UTC(2020;14;1))", "2021-02-01T00:00:00Z"), ("DURATION(@0;@90)", 90.0), ("TO.UNIX(@0)", 978307200.0), ("TO.UNIX(AFTER(@0;60))", 978307260.0), ("TO.UNIX(FROM.UNIX(1.5))", 1.5), ("TO.ISO8601.UTC(FROM.EXCELDATE(25569))", "1970-01-01T00:00:00Z"),
     ("TO.EXCELDATE(FROM.EXCELDATE(40000.25))", 40000.25), ('TO.UNIX(FROM.ISO8601("1970-01-01T01:00:00+01:00"))', 0.0), ('FROM.ISO8601("x")', INVALID), ('WRITE.DATE(@0;"yyyy/MM/dd HH:mm")', "2001/01/01 00:00"), ('TO.UNIX(READ.DATE("1970-01-02";"yyyy-MM-dd"))', 86400.0), ("TO.ISO8601(@0)", "2001-01-01T00:00:00Z"),
-    ("ITEMS({1;2;3})", 3), ("ITEMS(3)", INVALID), ("{1;2;3}[2]", 2), ("{1;2;3}[0]", INVALID), ("{1;2;3}[4]", INVALID), ('{"foo";"X";"bar";"Y"}->"bar"', "Y"), ('{"foo";"X"}->"none"', INVALID), ("NTH({7;8};1)", 7),
-    ('PACK({"Tommy";"van$,der,Vorst"})', "Tommy,van$1$0der$0Vorst"), ('PACK.VALUES("a";"b,c")', "a,b$0c"), ('UNPACK("a,b$0c")[2]', "b,c"), ('ITEMS(UNPACK(""))', 0), ('GLUE({"a";"b"};"-")', "a-b"), ('GLUE({"a";NULL};"-")', INVALID), ("APPEND({1};2;3)[3]", 3), ("APPEND.LIST({1};{2};{3})[3]", 3),
+    ("ITEMS({1;2;3})", 3), ("ITEMS(3)", INVALID), ("{1;2;3}[2]", 2), ("{1;2;3}[0]", INVALID), ("{1;2;3}[4]", INVALID), ('{"tea";"green";"cup";"blue"}->"cup"', "blue"), ('{"tea";"green"}->"none"', INVALID), ("NTH({7;8};1)", 7),
+    ('PACK({"salt";"oil$,vinegar,herbs"})', "salt,oil$1$0vinegar$0herbs"), ('PACK.VALUES("a";"b,c")', "a,b$0c"), ('UNPACK("a,b$0c")[2]', "b,c"), ('ITEMS(UNPACK(""))', 0), ('GLUE({"a";"b"};"-")', "a-b"), ('GLUE({"a";NULL};"-")', INVALID), ("APPEND({1};2;3)[3]", 3), ("APPEND.LIST({1};{2};{3})[3]", 3),
     ('FROM.JSON("{""a"":[1,5]}")->"a"[2]+0', INVALID), ('FROM.JSON("[1,")', INVALID), ('VALUEFORKEY(FROM.JSON("{""a"":""z""}");"a")&""', "z"), ("TO.JSON({1;2})", "[1,2]"),
     ("HEX.ENCODE(`AQL/`)", "0102ff"), ("BASE64.ENCODE(`AQL/`)", "AQL/"), ('HEX.ENCODE(HEX.DECODE("0aff"))', "0aff"), ('HEX.DECODE("zz")', INVALID), ('DECODE(BASE64.DECODE("aGk=");"UTF-8")', "hi"), ('SIZE.OF(ENCODE("é";"UTF-8"))', 2), ("SIZE.OF(3)", INVALID),
-    ("HILBERT.D(2;1;1)", 2), ("HILBERT.D(1024;100;50)", 7068), ("HILBERT.X(1024;100)", 4), ("HILBERT.Y(1024;100)", 14), ("HILBERT.D(3;1;1)", INVALID), ("POWER.DOWN(1025;2)", 1024), ("POWER.UP(1025;2)", 2048), ("POWER.UP(1;2)", 2), ("POWER.UP(8;2)", 8), ("POWER.UP(5;1)", INVALID),
+    ("HILBERT.D(2;1;1)", 2), ("HILBERT.D(1024;100;50)", 7068), ("HILBERT.X(1024;100)", 4), ("HILBERT.Y(1024;100)", 14), ("HILBERT.D(3;1;1)", INVALID), ("POWER.DOWN(700;3)", 243), ("POWER.UP(700;3)", 729), ("POWER.UP(1;2)", 2), ("POWER.UP(8;2)", 8), ("POWER.UP(5;1)", INVALID),
     ("NORM.INV(0.5;10;2)", 10.0), ("ROUND(NORM.INV(0.975;0;1);5)", 1.95996), ("NORM.INV(0;0;1)", INVALID),
     ("SUM(1;2;3)", 6.0), ("SUM()", 0.0), ("AVERAGE(1;2)", 1.5), ("MIN(3;1;2)", 1), ("SMALL(3;1)", 1), ("MAX(3;1;2)", 3), ("LARGE(3;1)", 3), ("COUNT(1;1;ERROR;NULL)", 2), ("COUNTA(1;1;ERROR;NULL)", 4), ("COUNTDISTINCT(1;1;2;NULL)", 2),
     ("MEDIAN(1;2)", 1.5), ("MEDIAN.LOW(1;1;2;2)", 1.0), ("MEDIAN.HIGH(1;1;2;2)", 2.0), ("MEDIAN.PACK(1;2;3)", "2.0"), ("MEDIAN.PACK(1;2)", "1.0,2.0"), ("VAR.P(1;2;3)", 2 / 3), ("VAR.S(1;2;3)", 1.0), ("VAR.S(1)", INVALID), ("STDEV.P(1;1)", 0.0), ("STDEV.S(1;2;3)", 1.0), ('VAR.P(1;"x")', INVALID),
-    ("10Ki", 10240), ("13%", 0.13), ("1,337,338", 1337338), ("1.5k", 1500.0), ("2Ti", 2 * 1024**4), ("PI", 3.141592654), ("NULL", None), ("ERROR", INVALID), ('"a""b"', 'a"b'),
+    ("10Ki", 10240), ("13%", 0.13), ("2,468,135", 2468135), ("1.5k", 1500.0), ("2Ti", 2 * 1024**4), ("PI", 3.141592654), ("NULL", None), ("ERROR", INVALID), ('"a""b"', 'a"b'),
 ]
 
 
