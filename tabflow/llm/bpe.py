@@ -1,4 +1,10 @@
-"""Byte-level BPE encoding and decoding of whole texts."""
+"""Byte-level BPE encoding and decoding of whole texts.
+
+What the pre-tokenizer leaves unsplit is encoded as a tree: leaves alone, then halves joined
+level by level, the ids around each seam encoded again until both sides agree.  A piece of
+``LONG`` bytes or more is cut into parts that are rows of their own: tasks encode them side by
+side, and each level of joins is a shuffle of neighbouring halves.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +18,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import CACHES, blocks, documents
+from .common import CACHES, blocks, documents, settled, width
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
 from tokenizers import Tokenizer  # noqa: E402
@@ -22,6 +29,8 @@ from tokenizers import Tokenizer  # noqa: E402
 CACHE = 500_000
 #: Bytes of a leaf of the tree that a long unsplit piece becomes.
 LEAF = 64
+#: Bytes of a text from which its long pieces are encoded by several tasks, and of the part that one task encodes.
+LONG, PART = 1 << 20, 1 << 17
 #: White space among the characters that CHUNK is used on, and the pre-tokenizer's pattern (fixed values).
 SPACE = r"\t-\r \x85\xa0"
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -139,6 +148,23 @@ class ByteBPE:
             return self.plain_bytes(text)
         return b"".join(np.asarray([self.special[p]], "<i4").tobytes() if p in self.special else self.plain_bytes(p) for p in self.cut.split(text))
 
+    def runs(self, text: str, long: int) -> Iterator[tuple[bool, bytes]]:
+        """A text as (False, ids of all up to the next long piece) and (True, a long piece's bytes), in order."""
+        ready: list[bytes] = []
+        for part in self.cut.split(text) if self.cut else [text]:
+            if part in self.special:
+                ready.append(np.asarray([self.special[part]], "<i4").tobytes())
+                continue
+            for piece in self.pieces(part):
+                data = piece.encode() if isinstance(piece, str) else piece
+                if len(data) < long:
+                    ready.append(np.asarray(self.unsplit(data), "<i4").tobytes())
+                    continue
+                yield False, b"".join(ready)
+                ready = []
+                yield True, data
+        yield False, b"".join(ready)
+
     def decode(self, ids: list[int]) -> str:
         """Special tokens are kept; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -160,36 +186,104 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every whole text; a null or empty text has no ids."""
+PARTS = "uid long, doc_id long, piece long, part long, parts long, ids array<int>"
+
+
+def far_apart(texts: DataFrame, path: str, long: int, part: int) -> DataFrame:
+    """(doc_id, ids) of long texts: their long pieces' parts in tasks of their own, then joined in pairs."""
+    kinds = PARTS + ", data binary"
+    names = [f.split()[0] for f in kinds.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(path)
+        for b in blocks(batches, 1, cache="chunks"):  # a long text at a time
+            rows = []
+            for uid, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for k, (open_, data) in enumerate(bpe.runs(text, long)):
+                    parts = [data[at : at + part] for at in range(0, len(data), part)] if open_ else [None]
+                    rows += [(uid, doc_id, k, j, len(parts), None if open_ else data, p) for j, p in enumerate(parts)]
+            uid, doc, piece, at, parts, ids, data = zip(*rows, strict=True)
+            ready = [np.frombuffer(i, "<i4") if i is not None else None for i in ids]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (uid, doc, piece, at, parts)), pa.array(ready, pa.list_(pa.int32())), pa.array(data, pa.binary())], names=names)
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(path)
+        for b in blocks(batches, 1, cache="chunks"):
+            ids = [bpe.unsplit(d) for d in b.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ids, pa.list_(pa.int32()))], names=names[:6])
+
+    def halves(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("part").to_pylist()
+        ids = coder(path).join(rows[0]["ids"], rows[1]["ids"]) if len(rows) > 1 else rows[0]["ids"]
+        first = rows[0]
+        return pa.table([pa.array([x], pa.int64()) for x in (first["uid"], first["doc_id"], first["piece"], first["part"] // 2, -(-first["parts"] // 2))] + [pa.array([ids], pa.list_(pa.int32()))], names=names[:6])
+
+    spark = texts.sparkSession
+    rows = settled(texts.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").repartition(width(spark), "uid").mapInArrow(cut, kinds), "parts")
+    ready = rows.filter("data is null").drop("data")
+    trees = settled(rows.filter("data is not null").repartition(width(spark), "uid", "piece", "part").mapInArrow(leaves, PARTS), "leaves")
+    while (trees.agg(F.max("parts")).first()[0] or 1) > 1:
+        trees = settled(trees.groupBy("uid", "piece", F.shiftright("part", 1).alias("pair")).applyInArrow(halves, PARTS), "halves")
+    whole = ready.unionByName(trees).groupBy("uid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("runs"))
+    return whole.select("doc_id", F.flatten(F.transform("runs", lambda x: x["ids"])).alias("ids"))
+
+
+def by_length(docs: DataFrame, long: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """The documents, and those whose texts are so long that they may have long pieces, if there are any."""
+    texts, size = documents(docs, id_col, text_col), F.octet_length("text")
+    if (texts.agg(F.max(size)).first()[0] or 0) < long:
+        return texts, None
+    return texts.filter(size < long), texts.filter(size >= long)
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, part: int = PART) -> DataFrame:
+    """(doc_id, ids) of every whole text.
+
+    A null or empty text has no ids; repeated rows, and rows with a null id, return as often
+    as given; an empty table gives no rows.  ``long`` and ``part`` (see ``LONG``) move work
+    between tasks, not results.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for b in blocks(batches, cache="chunks"):
             yield pa.RecordBatch.from_arrays([b.column(0), _lists([bpe.ids_bytes(t) for t in b.column(1).to_pylist()])], names=["doc_id", "ids"])
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    texts, far = by_length(docs, long, id_col, text_col)
+    out = texts.mapInArrow(run, "doc_id long, ids array<int>")
+    return out if far is None else out.unionByName(far_apart(far, path, long, part))
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) of every list of ids; null ids give the empty text."""
+    """(doc_id, text) of every list of ids; null ids give the empty text.  Rows return as often as given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for b in blocks(batches, cache="chunks"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(i or []) for i in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, encoded.select(F.col(id_col).alias("doc_id")).schema[0].simpleString().replace(":", " ") + ", text string")
+    rows = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("text", T.StringType())]))
+
 
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, part: int = PART) -> DataFrame:
+    """(doc_id, ids, text): every whole text's ids, and what they decode to, in one pass but for long texts; see ``encode``."""
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, text): every whole text's ids, and what they decode to, in one pass."""
+    def both(bpe: ByteBPE, doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        texts = [bpe.decode(np.frombuffer(i, "<i4").tolist()) for i in ids]
+        return pa.RecordBatch.from_arrays([doc_id, _lists(ids), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for b in blocks(batches, cache="chunks"):
-            ids = [bpe.ids_bytes(t) for t in b.column(1).to_pylist()]
-            texts = [bpe.decode(np.frombuffer(i, "<i4").tolist()) for i in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            yield both(bpe, b.column(0), [bpe.ids_bytes(t) for t in b.column(1).to_pylist()])
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(path)
+        for b in blocks(batches, 1, cache="chunks"):
+            yield both(bpe, b.column(0), [np.asarray(i, "<i4").tobytes() for i in b.column(1).to_pylist()])
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, text string")
+    kinds = "doc_id long, ids array<int>, text string"
+    texts, far = by_length(docs, long, id_col, text_col)
+    out = texts.mapInArrow(run, kinds)
+    return out if far is None else out.unionByName(far_apart(far, path, long, part).mapInArrow(back, kinds))

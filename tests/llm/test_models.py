@@ -72,6 +72,26 @@ def test_decoding_broken_bytes(coder):
     assert coder.decode([coder.single[0xE6], coder.single[ord("a")]]) == "�a"
 
 
+def test_parts_of_long_pieces_in_tasks(spark, documents, odd, nothing):
+    """Long unsplit pieces, cut into parts that tasks encode and join level by level, are as the library's."""
+    rng = random.Random(9)
+    texts = [t for _, t in documents[:30]] + ["ab" * 900, "x" * 1537, "".join(rng.choices("abcdet", k=5000)) + " end", "漢字" * 700, " " * 2000 + "z", "one <|endoftext|>" + "q" * 700 + "<|endoftext|>" + "7" * 1200, "", None, "é" * 600 + " " + "!?" * 900]
+    rows = [(k // 2, t) for k, t in enumerate(texts)] + [(None, "w" * 3000)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    library = Tokenizer.from_file(BYTES)
+    library.no_truncation()
+    library.no_padding()
+    expected = sorted(((i, library.encode(t or "", add_special_tokens=False).ids) for i, t in rows), key=repr)
+    for long, part in ((500, 64), (1, 7), (1500, 400)):
+        got = bpe.encode(docs, BYTES, long=long, part=part).collect()
+        assert sorted(((r.doc_id, list(r.ids)) for r in got), key=repr) == expected
+    got = bpe.round_trip(docs, BYTES, long=500, part=100).collect()
+    assert sorted(((r.doc_id, list(r.ids)) for r in got), key=repr) == expected
+    assert sorted((r.text for r in got)) == sorted(t or "" for _, t in rows)
+    assert bpe.round_trip(odd, BYTES, long=1, part=3).count() == odd.count()
+    assert bpe.round_trip(nothing, BYTES, long=1, part=3).count() == 0
+
+
 def test_op9(spark, documents, odd, nothing):
     library = Tokenizer.from_file(BYTES)
     got = {r.doc_id: r for r in queries.op9_bpe(spark, SF_DIR).collect()}
