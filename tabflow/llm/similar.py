@@ -12,11 +12,13 @@ Links are searched in three steps, each among what the steps before left apart:
 3. All pairs that share a shingle of their prefixes, may be similar by their sizes and by
    the shingle's places, and are not yet connected.
 
-A pair that comes up is checked twice.  Each set has a small map, one bit for each shingle
-by its hash, which says for how many shingles the bit was turned; the bits that differ
-between two maps bound the shingles that differ from below, so most pairs of unlike sets
-go without a look at the sets.  What stays is compared by whole sets, by the XXH64 of each
-shingle.  Equal sets are one node, named by the XXH64 of the set.
+A pair that comes up is checked by maps first.  Each set has a map whose bits are turned by
+the hashes of its shingles, one after another; the bits that differ between two maps bound
+the shingles that differ from below, so most pairs of unlike sets go without a look at the
+sets.  A map of SMALL bits travels with each row of step 3 and keeps pairs that cannot be
+similar from ever being made; one as large as the set follows for those that are.  What
+stays is compared by whole sets, by the XXH64 of each shingle.  Equal sets are one node,
+named by the XXH64 of the set.
 """
 
 from __future__ import annotations
@@ -38,6 +40,9 @@ from .triejoin import near_links
 SAMPLE, OFTEN, MOST = 8_000, 3, 200_000
 #: Rows of whole groups that are paired at once; pairs that are made distinct at once.
 ROWS, PAIRS = 200_000, 500_000
+#: Bits of the map that travels with each row, a multiple of 64, and its columns.
+SMALL = 256
+SMALL_MAP = [f"map{k}" for k in range(SMALL // 64)]
 #: Nodes to compare whose ids are sent to all tasks; more are joined by a shuffle.
 SENT = 100_000
 #: Nodes that a task remembers in order to give their prefixes once.
@@ -48,9 +53,9 @@ def set_id(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
 
 
-def parity_map(own: np.ndarray) -> bytes:
-    """A bit for each slot of a table of n to 2n slots: whether an odd number of the n shingles fall into it."""
-    size = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+def parity_map(own: np.ndarray, size: int | None = None) -> bytes:
+    """A bit for each slot of a table, of n to 2n slots unless told: whether an odd number of the n shingles fall into it."""
+    size = size or (max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64)
     slots = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return np.packbits((slots & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -106,13 +111,13 @@ def sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, words: int, percent: int, tables: int) -> DataFrame:
-    """(doc_id, node, fps, n, map, prefix): node names the set and n counts it; a task has the prefix of a node once, then null."""
+    """(doc_id, node, fps, n, prefix, map, *SMALL_MAP): node names the set and n counts it; a task has the prefix and maps of a node once, then null."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in blocks(batches):
-            nodes, fps, sizes, maps, found, again = [], [], [], [], [], []
+            nodes, fps, sizes, maps, small, found, again = [], [], [], [], [], [], []
             for text in b.column(1).to_pylist():
                 hashes = shingle_hashes(text, words)
                 own = np.unique(hashes)
@@ -122,15 +127,19 @@ def prefixes(texts: DataFrame, words: int, percent: int, tables: int) -> DataFra
                 sizes.append(len(own))
                 again.append(node in seen)
                 maps.append(None if again[-1] else parity_map(own))
+                small.append(bytes(SMALL // 8) if again[-1] else parity_map(own, SMALL))
                 found.append(np.zeros(0, np.uint64) if again[-1] else prefix(own, *sent.value, percent))
                 if len(seen) < SEEN:
                     seen.add(node)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), mask=pa.array(again, pa.bool_()))
             prints = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * tables), pa.array(np.array(fps, np.uint64).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), prints, pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), lists], names=["doc_id", "node", "fps", "n", "map", "prefix"])
+            gone = np.array(again, bool)
+            bits = [pa.array(c, pa.int64(), mask=gone) for c in np.frombuffer(b"".join(small), np.int64).reshape(len(small), -1).T]
+            columns = [b.column(0), pa.array(nodes, pa.int64()), prints, pa.array(sizes, pa.int32()), lists, pa.array(maps, pa.binary()), *bits]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fps", "n", "prefix", "map", *SMALL_MAP])
 
-    return texts.mapInArrow(run, "doc_id long, node long, fps array<long>, n int, map binary, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, node long, fps array<long>, n int, prefix array<long>, map binary, " + ", ".join(f"{c} long" for c in SMALL_MAP))
 
 
 def simhash_pairs(nodes: DataFrame, budget: int) -> DataFrame:
@@ -190,7 +199,7 @@ def pairs_of(rows: DataFrame, percent: int, ends_only: bool) -> DataFrame:
 
     def work(t: pa.Table, end: np.ndarray) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        columns = [t.column(c).to_numpy() for c in ("s", "node", "root", "n", "rest")]
+        columns = [t.column(c).to_numpy() for c in ("s", "node", "root", "n", "rest", *(() if ends_only else SMALL_MAP))]
         if not ends_only:
             s, root = columns[0], columns[2]
             by = np.lexsort((root, end))
@@ -201,13 +210,18 @@ def pairs_of(rows: DataFrame, percent: int, ends_only: bool) -> DataFrame:
             by = np.lexsort((root, -members, end))
             columns = [c[by] for c in columns]
         s, node, root = columns[:3]
-        n, left = (c.astype(np.int64) for c in columns[3:])
+        n, left = (c.astype(np.int64) for c in columns[3:5])
+        bits = columns[5:]
 
         def add(i: np.ndarray, j: np.ndarray) -> int:
             # Where this is the first shingle that both have, they share no more than it and what is left.
             ok = (root[i] != root[j]) & ((100 + percent) * (1 + np.minimum(left[i], left[j])) >= percent * (n[i] + n[j]))
-            held.append((np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])))
-            return int(ok.sum())
+            i, j = i[ok], j[ok]
+            if bits and len(i):
+                ok = (100 + percent) * sum(np.bitwise_count((c[i] ^ c[j]).view(np.uint64)).astype(np.int64) for c in bits) <= (100 - percent) * (n[i] + n[j])
+                i, j = i[ok], j[ok]
+            held.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+            return len(i)
 
         def distinct() -> pa.RecordBatch:
             src, dst = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -276,7 +290,7 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, budget:
     texts = documents(docs, id_col, text_col)
     rows = settled(prefixes(texts, words, percent, tables), "prefixes")
     known = rows.filter("doc_id is not null")
-    nodes = settled(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fps").alias("fps"), F.min("n").alias("n"), F.min("map").alias("map")), "nodes")
+    nodes = settled(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fps").alias("fps"), F.min("n").alias("n"), F.min("map").alias("map"), *(F.min(c).alias(c) for c in SMALL_MAP)), "nodes")
     links = similar(simhash_pairs(nodes, budget), texts, nodes, words, percent, "simhash")
     place = rows.filter("doc_id is not null and prefix is not null").select("node", "n", F.posexplode("prefix").alias("at", "s"))
     place = place.select("s", "node", "n", (F.col("n") - F.col("at") - 1).alias("rest"))
@@ -284,6 +298,8 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, budget:
     for label in ("ends", "rest"):
         roots = settled(connected_components(links), f"{label}-roots")
         apart = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if label == "rest":
+            apart = apart.join(nodes.select("node", *SMALL_MAP), "node")
         more = similar(pairs_of(apart, percent, label == "ends"), texts, nodes, words, percent, label)
         links = links.unionByName(more)
     # By the smallest documents: one that has two texts is one end of the links of both.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from tabflow.llm import neardup, similar
@@ -89,6 +90,30 @@ def test_all_pairs_of_a_table(spark, monkeypatch, often):
     assert found(spark, rows) == classes(rows)
 
 
+def test_family_around_the_limit(spark):
+    """Several hundred variants of one text, most pairs near 0.8: no pair over it may be lost, by maps or else."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    base = rng.choices(words, k=140)
+    rows = [(k, " ".join(edited(rng, base, rng.randint(2, 5)))) for k in range(400)]
+    rows += [(1000 + k, " ".join(base[k : k + 100] + rng.choices(words, k=rng.randint(8, 30)))) for k in range(40)]
+    expected = classes(rows)
+    assert 5 < len(set(expected.values())) < 400
+    assert found(spark, rows) == expected
+
+
+def test_maps_never_differ_more_than_sets():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 3, 64, 65, 300, 1000):
+        for share in (0.0, 0.3, 0.8, 1.0):
+            own = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+            other = np.unique(np.concatenate([own[: int(share * n)], rng.integers(0, 1 << 64, rng.integers(0, n + 1), np.uint64)]))
+            apart = len(np.setxor1d(own, other))
+            assert similar.differing(similar.parity_map(own), similar.parity_map(other)) <= apart
+            small = [np.frombuffer(similar.parity_map(x, similar.SMALL), np.uint64) for x in (own, other)]
+            assert int(np.bitwise_count(small[0] ^ small[1]).sum()) <= apart
+
+
 def test_all_pairs_of_sf001(spark):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF_DIR}/documents.parquet'").fetchall()
     assert found(spark, rows) == classes(rows)
