@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -61,13 +61,19 @@ def _remove(spark: SparkSession, path: str) -> None:
 def drop_settled(*tables: DataFrame) -> None:
     """Removes tables that ``settled`` gave, when whatever reads them has been settled itself."""
     for t in tables:
-        _SETTLED.remove(t.settled_path)
+        if t.settled_path in _SETTLED:
+            _SETTLED.remove(t.settled_path)
         _remove(t.sparkSession, t.settled_path)
 
 
-def clear_settled(spark: SparkSession, *keep: DataFrame) -> None:
-    """Removes all intermediate tables of this driver but those to ``keep``: call it when results have been written."""
-    kept = {t.settled_path for t in keep}
+def settled_paths() -> list[str]:
+    """The intermediate tables of this driver that are there."""
+    return list(_SETTLED)
+
+
+def clear_settled(spark: SparkSession, *keep: DataFrame, others: Sequence[str] = ()) -> None:
+    """Removes all intermediate tables of this driver but those to ``keep`` and the paths of ``others``: call it when results have been written."""
+    kept = {t.settled_path for t in keep} | set(others)
     for path in [p for p in _SETTLED if p not in kept]:
         _SETTLED.remove(path)
         _remove(spark, path)
