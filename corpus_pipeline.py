@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabflow.llm import neardup, neighbours, packing, passages, toxicity
-from tabflow.llm.common import blocks, clear_settled, settled
+from tabflow.llm.common import blocks, clear_settled, settled, settled_paths
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -102,8 +102,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    others = settled_paths()  # tables that are not this run's
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir), name)
-        clear_settled(spark, docs)  # what the stage and those before it left on their way
+        clear_settled(spark, docs, others=others)  # what the stage and those before it left on their way
     return STAGES[-1][1](spark, docs, sf_dir)
