@@ -49,14 +49,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     return documents(docs, id_col, text_col).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+def sum_of_squares(lengths: np.ndarray, capacity: int, reuse: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
     """(bin, offset) for each length, and the number of bins.
 
     N(g) open bins have a gap of g.  Each item goes where the sum of N(g) squared gets
     smallest: into an open bin with gap g >= length, which moves one bin from g to
     g - length, or into a new one.  A bin that gets full leaves the sum.  Ties go to
-    the smallest gap, and to a new bin last.  Items of equal length are placed in the
-    order given.
+    the smallest gap, and to a new bin last.  With ``reuse`` a new bin is opened only if no
+    open one has room; the sum then chooses among open bins, which leaves fewer of them
+    part full in the end.  Items of equal length are placed in the order given.
     """
     n = np.zeros(capacity + 1, np.int64)  # open bins by gap; n[0] stays 0
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -73,7 +74,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             cost = np.where(open_, change, never)
             best = int(cost.argmin())
         new = 2 * n[capacity - size] + 1 if size < capacity else 0
-        if best >= 0 and cost[best] <= new:
+        if best >= 0 and (reuse or cost[best] <= new):
             gap = best + size
             b = stacks[gap].pop()
             n[gap] -= 1
@@ -93,8 +94,8 @@ def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
 
     ``found`` should be settled.  Pieces are dealt by hash into groups of about
     ``GROUP``, or fewer for a small table, one task's work each; within a group they
-    are placed by the sum-of-squares rule, the longest first.  Only lengths and keys are
-    shuffled.  A hash of all of a piece's columns deals, so repeated rows and a doc_id
+    are placed by the sum-of-squares rule, the longest first, and no sequence is begun while
+    an open one has room.  Only lengths and keys are shuffled.  A hash of all of a piece's columns deals, so repeated rows and a doc_id
     that many rows share spread as well.  Of ``found`` the columns of ``PIECES`` are read
     and all others but ``row`` are kept.
     """
@@ -109,7 +110,7 @@ def pack(found: DataFrame, capacity: int = 2048) -> DataFrame:
         lengths = table.column("length").to_numpy()
         order = np.lexsort((table.column("piece").to_numpy(), table.column("doc_id").fill_null(-1).to_numpy(), -lengths))
         bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-        bins[order], offsets[order], _ = sum_of_squares(lengths[order], capacity)
+        bins[order], offsets[order], _ = sum_of_squares(lengths[order], capacity, reuse=True)
         table = table.drop_columns([group, "row"])
         return table.append_column("sequence_id", pa.array((key[0].as_py() << 40) + bins)).append_column("offset", pa.array(offsets))
 

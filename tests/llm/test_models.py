@@ -137,17 +137,17 @@ def check_packed(rows, capacity, slack):
     assert len(bins) <= max(least + 2, least * slack)
 
 
-def plain_sum_of_squares(lengths, capacity):
-    """Every open bin and a new one tried in turn."""
+def plain_sum_of_squares(lengths, capacity, reuse=False):
+    """Every open bin and a new one tried in turn; with ``reuse`` a new one only if none has room."""
     gaps = []
     for size in lengths:
         def cost(after):
             counts = Counter(g for g in after if g)
             return sum(n * n for n in counts.values())
 
-        options = [(cost([*gaps, capacity - size]), 1, 0, None)]
-        options += [(cost([*gaps[:k], g - size, *gaps[k + 1 :]]), 0, g, k) for k, g in enumerate(gaps) if g >= size]
-        k = min(options, key=lambda o: o[:3])[3]
+        new = [(cost([*gaps, capacity - size]), 1, 0, None)]
+        options = [(cost([*gaps[:k], g - size, *gaps[k + 1 :]]), 0, g, k) for k, g in enumerate(gaps) if g >= size]
+        k = min(options if reuse and options else options + new, key=lambda o: o[:3])[3]
         if k is None:
             gaps.append(capacity - size)
         else:
@@ -156,14 +156,14 @@ def plain_sum_of_squares(lengths, capacity):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 30), max_size=40))
-def test_sum_of_squares_rule(lengths):
-    bins, offsets, n = packing.sum_of_squares(np.array(lengths, np.int64), 30)
+@given(st.lists(st.integers(1, 30), max_size=40), st.booleans())
+def test_sum_of_squares_rule(lengths, reuse):
+    bins, offsets, n = packing.sum_of_squares(np.array(lengths, np.int64), 30, reuse)
     fill = [0] * n
     for b, o, size in zip(bins, offsets, lengths, strict=True):
         assert fill[b] == o
         fill[b] += size
-    assert sorted(30 - f for f in fill) == plain_sum_of_squares(lengths, 30)
+    assert sorted(30 - f for f in fill) == plain_sum_of_squares(lengths, 30, reuse)
 
 
 def test_packing_odd_rows(spark, odd, nothing, monkeypatch):
