@@ -374,15 +374,28 @@ def _normal_inverse(ctx, p, mean, deviation):
     return need(v.number(mean) + v.number(deviation) * z, DOUBLE)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, and not in each branch that reads it: generated code stays small enough to be compiled."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def power_step(n: Column, base: Column, up: bool) -> Column:
     """The power of ``base`` next above (at least base ** 1) or below n, put right by one step where logarithms err."""
-    guess = F.pow(base, F.round(F.ln(n) / F.ln(base)))
-    if up:
-        out = F.when(guess < n, guess * base).when(guess / base >= n, guess / base).otherwise(guess)
-        out = F.greatest(out, base)
-    else:
-        out = F.when(guess > n, guess / base).when(guess * base <= n, guess * base).otherwise(guess)
-    return F.when((n > 0) & (base > 1), out).cast("long")
+
+    def corrected(at: Column) -> Column:
+        n, base, guess = at["n"], at["base"], at["guess"]
+        if up:
+            out = F.when(guess < n, guess * base).when(guess / base >= n, guess / base).otherwise(guess)
+            out = F.greatest(out, base)
+        else:
+            out = F.when(guess > n, guess / base).when(guess * base <= n, guess * base).otherwise(guess)
+        return F.when(guess.isNotNull(), out).cast("long")
+
+    def guessed(at: Column) -> Column:
+        guess = F.pow(at["base"], F.rint(F.ln(at["n"]) / F.ln(at["base"])))
+        return F.struct(at["n"], at["base"], F.when((at["n"] > 0) & (at["base"] > 1), guess).alias("guess"))
+
+    return bound(bound(F.struct(n.alias("n"), base.alias("base")), guessed), corrected)
 
 
 @function("powerUp", 2)
