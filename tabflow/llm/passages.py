@@ -15,7 +15,9 @@ only windows with the same anchor string need to meet.
    it has.
 2. By anchor hash: of segments with equal hashes all but the first are *claimed* to repeat
    the first.  Where one anchor has several different segments, the first of each is asked
-   for its bytes.  One row is held at a time.
+   for its bytes.  One row is held at a time.  Anchors that a sample of documents shows in
+   many different segments are dealt by segment hash as well: their segments are all asked
+   for, so they need not meet here.  The sample only moves work.
 3. Claims of one document on another that follow each other become one range.  The bytes of
    asked segments and of ranges that are claimed are cut from the texts.
 4. By anchor: all windows of asked segments, as suffixes of the joined bytes, are sorted by
@@ -50,6 +52,10 @@ FOLD, FOLD_BYTES, COMPARED = 400_000, 1 << 24, 20_000
 LIMIT = 1000
 #: Windows that are sorted together, about.
 SORT = 200_000
+#: Documents in the sample that shows hot anchors, about; different segments there that make one hot; how many such are kept.
+SAMPLE, HOT, MOST = 4_000, 8, 200_000
+#: What is added to the windows of a hot anchor's segment on its way.
+HOT_FLAG = 1 << 40
 #: Claims on one document that are served together; more are dealt to several rows.
 SERVED = 4_096
 
@@ -135,11 +141,11 @@ def _texts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.
 def _folded(found: list[tuple[np.ndarray, ...]], data: list[np.ndarray], length: int) -> pa.RecordBatch:
     """One batch of SEGMENTS: first rows of equal segments, and the others' ranges with n = -1 and the stop in sh.
 
-    ``found`` has k, sh, rid, start, n and the place in the joined ``data`` of each segment.
+    ``found`` has k, sh, rid, start, n, the place in the joined ``data`` and the flag of each segment.
     """
-    k, sh, rid, start, n, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    k, sh, rid, start, n, at, flag = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((start, rid, n, sh, k))
-    k, sh, rid, start, n, at = (x[order] for x in (k, sh, rid, start, n, at))
+    k, sh, rid, start, n, at, flag = (x[order] for x in (k, sh, rid, start, n, at, flag))
     again = np.concatenate([[False], (k[1:] == k[:-1]) & (sh[1:] == sh[:-1]) & (n[1:] == n[:-1])])
     rows, joined = np.flatnonzero(again), b"".join(data)
     for lo in range(0, len(rows), COMPARED):
@@ -149,12 +155,28 @@ def _folded(found: list[tuple[np.ndarray, ...]], data: list[np.ndarray], length:
     r, a, z = merged(rid[again], start[again], (start + n - 1 + length)[again])
     key = mixed((r * 1_000_003 + a).astype(np.int64).view(U64)).view(np.int64)
     own = ~again
-    columns = (np.concatenate(x) for x in ((k[own], key), (sh[own], z), (rid[own], r), (start[own], a), (n[own], np.full(len(r), -1))))
+    columns = (np.concatenate(x) for x in ((k[own], key), (sh[own], z), (rid[own], r), (start[own], a), (n[own] + flag[own], np.full(len(r), -1))))
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k", "sh", "rid", "start", "n"])
 
 
-def segment_rows(texts: DataFrame, length: int, hash_bits: int = 64) -> DataFrame:
+def hot_anchors(texts: DataFrame, length: int) -> np.ndarray:
+    """Hashes of anchors with HOT or more different segments in a sample of documents, sorted; at most MOST."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, offsets, _, _ in _texts(batches, length):
+            k, sh = np.unique(np.stack(segments(data, offsets, length)[:2]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(sh, pa.int64())], names=["k", "sh"])
+
+    share = max(1, -(-texts.count() // SAMPLE))
+    sample = texts.filter(F.pmod(F.xxhash64("rid"), F.lit(share)) == 0).mapInArrow(run, "k long, sh long")
+    counts = sample.distinct().groupBy("k").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HOT)
+    return np.sort(counts.orderBy(F.col("c").desc(), "k").limit(MOST).select("k").toArrow().column(0).to_numpy())
+
+
+def segment_rows(texts: DataFrame, length: int, hot: np.ndarray, hash_bits: int = 64) -> DataFrame:
+    """SEGMENTS of the texts, folded by task; n has HOT_FLAG where the anchor is one of ``hot``."""
     kept_bits = np.int64(-1) if hash_bits >= 64 else np.int64((1 << hash_bits) - 1)
+    sent = texts.sparkSession.sparkContext.broadcast(hot)  # at most MOST numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, joined, held, size = [], [], 0, 0
@@ -162,7 +184,9 @@ def segment_rows(texts: DataFrame, length: int, hash_bits: int = 64) -> DataFram
             k, sh, t, first, n = segments(data, offsets, length)
             if not len(k):
                 continue
-            found.append((k, sh & kept_bits, rid[t], base[t] + first - offsets[t], n, size + first))
+            at = np.minimum(np.searchsorted(sent.value, k), len(sent.value) - 1)
+            flag = np.where(sent.value[at] == k, HOT_FLAG, 0) if len(sent.value) else np.zeros(len(k), np.int64)
+            found.append((k, sh & kept_bits, rid[t], base[t] + first - offsets[t], n, size + first, flag))
             joined.append(data)
             held += len(k)
             size += len(data)
@@ -192,9 +216,12 @@ def first_segments(rows: DataFrame, length: int, distrusted: np.ndarray) -> Data
             ready = n < 0
             out = [(rid[ready], start[ready], sh[ready], k[ready], rid[ready], start[ready])]
             k, sh, rid, start, n = (x[~ready] for x in (k, sh, rid, start, n))
+            hot = n >= HOT_FLAG
+            n = n & (HOT_FLAG - 1)
             claimed = 0
             if len(k):
                 if last:
+                    hot = np.concatenate([[False], hot])  # it has been asked for already
                     k, sh, rid, start, n = (np.concatenate([[x], y]) for x, y in zip(last[:5], (k, sh, rid, start, n), strict=True))
                 again = np.concatenate([[False], (k[1:] == k[:-1]) & (sh[1:] == sh[:-1]) & (n[1:] == n[:-1])])
                 if len(distrusted):
@@ -204,7 +231,7 @@ def first_segments(rows: DataFrame, length: int, distrusted: np.ndarray) -> Data
                 claimed = len(first)
                 out.append((rid[again], start[again], (start + n - 1 + length)[again], k[again], rid[first], start[first]))
                 near = k[at][1:] == k[at][:-1]
-                asked = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+                asked = np.concatenate([near, [False]]) | np.concatenate([[False], near]) | hot[at]
                 was = bool(last and last[5])
                 ask = asked.copy()
                 if was:
@@ -219,7 +246,8 @@ def first_segments(rows: DataFrame, length: int, distrusted: np.ndarray) -> Data
             columns[4:] = [pa.array(c.to_numpy(), pa.int64(), mask=other) for c in columns[4:]]
             yield pa.RecordBatch.from_arrays(columns, names=["rid", "start", "stop", "k", "rid0", "start0"])
 
-    ordered = rows.repartition(width(rows.sparkSession), "k").sortWithinPartitions("k", "sh", "n", "rid", "start")
+    apart = F.when(F.col("n") >= HOT_FLAG, F.col("sh")).otherwise(0)
+    ordered = rows.repartition(width(rows.sparkSession), "k", apart).sortWithinPartitions("k", "sh", "n", "rid", "start")
     return ordered.mapInArrow(run, MARKS)
 
 
@@ -336,8 +364,20 @@ def sorted_contexts(rows: DataFrame, length: int) -> DataFrame:
         def places(*columns: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], names=["rid", "start", "stop", "bytes"])
 
+        def folded(t: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+            """The repeats among rows of one window each, and the rows without them."""
+            rid, start, n = (t.column(c).to_numpy() for c in (1, 2, 3))
+            parts, seen = t.column(4).to_pylist(), set()
+            again = np.zeros(len(n), bool)
+            for j in np.lexsort((start, rid)).tolist():
+                if n[j] == 1:
+                    again[j] = parts[j] in seen
+                    seen.add(parts[j])
+            rid, start, stop = merged(rid[again], start[again], start[again] + length)
+            return places(*map(pa.array, (rid, start, stop))), t.filter(pa.array(~again))
+
         held: list[pa.RecordBatch] = []
-        windows = 0
+        windows, most = 0, SORT
         for b in batches:
             n = b.column(3).to_numpy()
             ready = b.filter(pa.array(n < 0))
@@ -348,15 +388,20 @@ def sorted_contexts(rows: DataFrame, length: int) -> DataFrame:
                 continue
             held.append(b)
             windows += int(n[n > 0].sum())
-            if windows < SORT:
+            if windows < most:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             k = t.column(0).to_numpy()
             edge = np.flatnonzero(k[1:] != k[:-1])
             if len(edge):
                 yield found(t.slice(0, edge[-1] + 1))
-                held = t.slice(edge[-1] + 1).combine_chunks().to_batches()
-                windows = sum(int(h.column(3).to_numpy().sum()) for h in held)
+                t = t.slice(edge[-1] + 1).combine_chunks()
+            else:  # one window may be in very many documents
+                ready, t = folded(t)
+                yield ready
+            held = t.combine_chunks().to_batches()
+            windows = sum(int(h.column(3).to_numpy().sum()) for h in held)
+            most = max(SORT, 2 * windows)
         if held:
             yield found(pa.Table.from_batches(held))
 
@@ -407,8 +452,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     if not unique:
         texts = texts.dropDuplicates(["rid"])
     distrusted = np.zeros(0, np.int64)
+    hot = hot_anchors(texts, length)
     while True:
-        marks = settled(first_segments(segment_rows(texts, length, hash_bits), length, distrusted), "marks")
+        marks = settled(first_segments(segment_rows(texts, length, hot, hash_bits), length, distrusted), "marks")
         claims = marks.filter("rid0 is not null")
         ranges = settled(claimed_ranges(claims), "claims")
         asked = marks.filter("stop < 0").select("rid", "start", (-F.col("stop")).alias("n"), "k")

@@ -182,6 +182,23 @@ def test_hashes_of_segments_do_not_decide(spark, bits):
     assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got} == plain_repeats(rows)
 
 
+@pytest.mark.parametrize("hot, bits", [(1, 64), (3, 64), (3, 6), (10**9, 64)])
+def test_hot_anchors_and_windows(spark, monkeypatch, hot, bits):
+    """The same bytes go whichever anchors are dealt by segment, and where rows of one window come in many batches."""
+    rows = hard_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for name, value in (("HOT", hot), ("LIMIT", 2), ("SORT", 2)):
+        monkeypatch.setattr(passages, name, value)
+    found = passages.hot_anchors(docs.selectExpr("doc_id as rid", "text"), 100)
+    assert (len(found) > 0) == (hot < 10**9) and (np.diff(found) > 0).all()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = passages.remove_repeats(docs, hash_bits=bits).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got} == plain_repeats(rows)
+
+
 def test_two_segments_of_one_hash(spark):
     """Two texts around one anchor that share no 100 bytes keep all."""
     rng = random.Random(8)
