@@ -98,13 +98,43 @@ class Neighbours:
         return np.clip(out, 0, 1)
 
 
+def decomposed(ends: np.ndarray, at: np.ndarray, share: np.ndarray, idf: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``dims`` right singular vectors of the documents' weighed terms, and the documents in them, of length 1.
+
+    Document i has the terms at[ends[i]:ends[i + 1]]; rows of the matrix are made BLOCK at a time.
+    """
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, length, out=x, where=length > 0)
+
+    def weighed() -> Iterator[tuple[slice, np.ndarray]]:
+        for lo in range(0, len(ends) - 1, BLOCK):
+            own = ends[lo : lo + BLOCK + 1]
+            x = np.zeros((len(own) - 1, len(idf)), np.float32)
+            x[np.repeat(np.arange(len(x)), np.diff(own)), at[own[0] : own[-1]]] = share[own[0] : own[-1]]
+            x *= idf
+            yield slice(lo, lo + len(x)), unit(x)
+
+    gram = np.zeros((len(idf), len(idf)), np.float32)
+    for _, x in weighed():
+        gram += x.T @ x
+    basis = np.linalg.eigh(gram)[1][:, ::-1][:, :dims].astype(np.float32)
+    vectors = np.empty((len(ends) - 1, dims), np.float32)
+    for place, x in weighed():
+        vectors[place] = unit(x @ basis)
+    return basis, vectors
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bound: int = 8_000, n_terms: int = 2_048, dims: int = 48, k: int = 15, id_col: str = "doc_id", text_col: str = "text") -> Neighbours:
     """Fits latent-semantic vectors on at most ``bound`` labelled documents, in hash order.
 
     Labels of held-out ids are never read.  The ``n_terms`` terms that stand in most of
     the sample's documents are weighed by inverse document frequency and reduced to
-    ``dims`` dimensions by an exact singular value decomposition.  The driver holds
-    bound x n_terms float32 at most, in blocks.  Without labelled rows all scores are 1.
+    ``dims`` dimensions by an exact singular value decomposition.  The driver holds the
+    terms that the documents have; a task makes their bound x n_terms matrix in blocks
+    and decomposes n_terms x n_terms float32.  Without labelled rows all
+    scores are 1.
     """
     sample = settled(training_documents(docs, labels, label_col, bound, False, id_col, text_col), "quality-sample")
 
@@ -129,19 +159,19 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", bound:
             yield pa.RecordBatch.from_arrays([pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.float32())), b.column(1)], names=["at", "share", "label"])
 
     rows = sample.orderBy("doc_id").select("text", "label").mapInArrow(weigh, "at array<int>, share array<float>, label int").toArrow().combine_chunks()
-    x = np.zeros((len(rows), len(vocabulary)), np.float32)
     at, share = rows.column("at").combine_chunks(), rows.column("share").combine_chunks()
-    owner = np.repeat(np.arange(len(rows)), np.diff(at.offsets.to_numpy()))
-    x[owner, at.values.to_numpy()] = np.sqrt(share.values.to_numpy())
-    x *= idf
-    length = np.linalg.norm(x, axis=1, keepdims=True)
-    np.divide(x, length, out=x, where=length > 0)
     dims = min(dims, len(vocabulary))
-    gram = x.T @ x
-    basis = np.linalg.eigh(gram)[1][:, ::-1][:, :dims].astype(np.float32)
-    vectors = x @ basis
-    length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    np.divide(vectors, length, out=vectors, where=length > 0)
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((at.offsets.to_numpy(), at.values.to_numpy(), np.sqrt(share.values.to_numpy()), idf))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            basis, vectors = decomposed(*sent.value, dims)
+            yield pa.RecordBatch.from_arrays([pa.array([basis.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["basis", "vectors"])
+
+    fitted = spark.range(0, 1, 1, 1).mapInArrow(fit, "basis binary, vectors binary").collect()[0]
+    sent.unpersist()
+    basis, vectors = (np.frombuffer(fitted[c], np.float32).reshape(-1, dims) for c in ("basis", "vectors"))
     y = rows.column("label").to_numpy().astype(np.float64)
     return Neighbours(index, basis * idf[:, None], vectors, y, k, float(y.mean()))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -309,3 +310,21 @@ def test_neighbours_by_brute_force(spark):
         w = np.maximum(cosine[at].astype(float), 0) ** 4
         if w.sum() > 0 and (cosine >= near[0] - 1e-6).sum() == 5:
             assert got[i] == pytest.approx((w * model.labels[at]).sum() / w.sum(), abs=1e-4)
+
+
+def test_neighbours_are_fitted_without_the_whole_matrix(spark):
+    """The driver's Python stays under a fourth of documents x terms float32, and all sampled documents are neighbours."""
+    words = ", ' ', ".join(f"'w', (id * 7 + {13 * k}) % 500" for k in range(10))
+    docs = spark.range(8000).selectExpr("id as doc_id", f"concat({words}) as text")
+    labels = spark.range(8000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    tracemalloc.start()
+    try:
+        model = neighbours.train(docs, labels, n_terms=512, dims=4)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    own = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5]
+    assert model.vectors.shape == (len(own), 4) and len(model.index) > 500
+    assert np.allclose(np.linalg.norm(model.vectors, axis=1), 1, atol=1e-5)
+    assert np.allclose(model.vectors, model.embed([" ".join(f"w{(i * 7 + 13 * k) % 500}" for k in range(10)) for i in own]), atol=1e-4)
+    assert peak < len(own) * len(model.index)
