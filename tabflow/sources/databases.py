@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
 import sqlite3
+import zipfile
 from collections.abc import Iterator, Sequence
+from glob import glob
 from urllib.parse import quote_plus
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringStartsWith
 
 from ..functions import values as v
 from ..functions.compiler import quoted
+from . import scratch
 
 
 def quote(name: str) -> str:
@@ -259,18 +265,98 @@ def read_jdbc(spark: SparkSession, url: str, table: str, user: str | None = None
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", user: str | None = None, password: str | None = None, batch: int = 10_000, **options: str) -> None:
-    """Creates or appends to a table: each task sends its rows in batches, in one transaction."""
+    """Creates or appends to a table: each task sends its rows in batches, in one transaction.
+
+    A Derby database lives in one process, here the driver's: it takes up files that the tasks write.
+    """
+    if in_driver(url):
+        fill_derby(df, url, table, mode, user, password, options)
+        return
     df.write.format("jdbc").options(**(jdbc_options(url, user, password) | {"dbtable": table, "batchsize": str(batch)} | options)).mode(mode).save()
 
 
-def jdbc_related_tables(spark: SparkSession, url: str, table: str, user: str | None = None, password: str | None = None) -> list[tuple[str, str]]:
-    """(other table, join formula) for each foreign key of a table, by what its driver tells of any database."""
-    jvm = spark._jvm
-    who = jvm.java.util.Properties()
+def in_driver(url: str) -> bool:
+    """Whether the address is of a Derby database without a server: of one process, so tasks elsewhere cannot write to it."""
+    return url.startswith("jdbc:derby:") and not url.startswith("jdbc:derby://")
+
+
+def connection(spark: SparkSession, url: str, user: str | None = None, password: str | None = None):
+    """The driver process's own connection."""
+    who = spark._jvm.java.util.Properties()
     for k, x in jdbc_options(url, user, password).items():
         if k not in ("url", "driver"):
             who.setProperty(k, x)
-    db = jvm.java.sql.DriverManager.getConnection(url, who)
+    return spark._jvm.java.sql.DriverManager.getConnection(url, who)
+
+
+def derby_text(x: Column, kind: T.DataType, zone: str) -> Column:
+    """A cell as Derby's import reads it: quoted, or nothing where it is empty; times as they are in the driver's ``zone``, as JDBC has them."""
+    match kind:
+        case T.BinaryType():
+            x = F.hex(x)
+        case T.TimestampType():
+            utc = F.timestamp_add("MICROSECOND", F.unix_micros(x), F.lit("1970-01-01").cast("timestamp_ntz"))
+            x = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc).cast("string")
+        case T.NumericType() | T.StringType() | T.BooleanType() | T.DateType() | T.TimestampNTZType():
+            x = x.cast("string")
+        case _:
+            raise ValueError(f"Derby's import takes no {kind.simpleString()}")
+    return F.coalesce(F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
+
+
+def fill_derby(df: DataFrame, url: str, table: str, mode: str, user: str | None, password: str | None, options: dict[str, str]) -> None:
+    """The driver makes the table, tasks write their rows as texts into the shared folder, and Derby imports those files.
+
+    No row goes through the driver's results.  Derby commits each file.
+    """
+    spark = df.sparkSession
+    zone = spark._jvm.java.util.TimeZone.getDefault().getID()
+    line = F.concat_ws(",", *(derby_text(df[quoted(f.name)], f.dataType, zone) for f in df.schema))
+    *schema, name = spark._jvm.org.apache.derby.iapi.util.IdUtil.parseMultiPartSQLIdentifier(table)
+    db = connection(spark, url, user, password)
+    try:
+        own = schema[-1] if schema else db.getSchema()
+        if mode == "ignore" and db.getMetaData().getTables(None, own, name, None).next():
+            return
+        given = jdbc_options(url, user, password) | {"dbtable": table} | options
+        df.limit(0).write.format("jdbc").options(**given).mode(mode).save()
+        known = {c.lower(): c for c in spark.read.format("jdbc").options(**given).load().columns}
+        folder = scratch.local_path(spark, ".rows")
+        try:
+            df.select(line).write.text(f"file://{folder}", compression="none")
+            load = db.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_DATA(?, ?, ?, NULL, ?, ',', '\"', 'UTF-8', 0)")
+            for k, x in enumerate((own, name, ",".join(known[c.lower()] for c in df.columns)), 1):
+                load.setString(k, x)
+            for part in sorted(glob(f"{folder}/part-*")):
+                load.setString(4, part)
+                load.execute()
+        finally:
+            shutil.rmtree(folder, ignore_errors=True)
+    finally:
+        db.close()
+
+
+def derby_jar(spark: SparkSession, url: str, path: str) -> str:
+    """Closes a Derby database in a folder of the driver and packs it into the file ``path``: the address at which all processes that see the file read it."""
+    folder = url.removeprefix("jdbc:derby:").removeprefix("directory:").split(";")[0]
+    if not os.path.isfile(f"{folder}/service.properties"):
+        raise ValueError(f"no Derby database in the folder {folder}")
+    try:
+        connection(spark, f"jdbc:derby:{folder};shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # Derby's way to say that it is closed
+            raise
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as out:  # pages are read at their places: not compressed
+        for d, _, names in os.walk(folder):
+            for x in names:
+                if not x.endswith(".lck"):
+                    out.write(f"{d}/{x}", f"rows/{os.path.relpath(f'{d}/{x}', folder)}")
+    return f"jdbc:derby:jar:({path})rows"
+
+
+def jdbc_related_tables(spark: SparkSession, url: str, table: str, user: str | None = None, password: str | None = None) -> list[tuple[str, str]]:
+    """(other table, join formula) for each foreign key of a table, by what its driver tells of any database."""
+    db = connection(spark, url, user, password)
     try:
         found, keys = [], db.getMetaData().getImportedKeys(db.getCatalog(), None, table)
         while keys.next():

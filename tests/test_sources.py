@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import json
+import os
 import sqlite3
+import subprocess
+import sys
 import time
+from pathlib import Path
 
+import pyspark
 import pytest
 
 from tabflow.functions.sequencer import Sequence, range_table, sequence_table
@@ -163,6 +170,48 @@ def test_jdbc(spark):
     assert databases.jdbc_related_tables(spark, url, "MANY") == [("ONE", "AND([X]=#[A];[Y]=#[B])")]
 
 
+def test_derby_file_holds_every_cell(spark, tmp_path):
+    at = datetime.datetime(2020, 7, 2, 3, 4, 5, 678901)
+    rows = [(1, 'a;"b"c,\r\nd ', 5e-324, True, b"\x00\xff", at.date(), at, at, decimal.Decimal("-1.25")), (2**63 - 1, "", -1e300, False, b"", None, None, None, None), (3, *[None] * 8)]
+    df = spark.createDataFrame(rows, "`id x` long, t string, d double, b boolean, y binary, day date, z timestamp, n timestamp_ntz, m decimal(10,2)").repartition(2)
+    url = f"jdbc:derby:{tmp_path}/rows;create=true"
+    databases.write_jdbc(df, url, '"Own, rows"', mode="overwrite")
+    databases.write_jdbc(df.select("t", "id x").filter("`id x` = 1"), url, '"Own, rows"')
+    databases.write_jdbc(df, url, '"Own, rows"', mode="ignore")
+    with pytest.raises(Exception, match="not defined"):
+        databases.write_jdbc(spark.range(1), url, '"Own, rows"')
+    with pytest.raises(ValueError, match="no array"):
+        databases.write_jdbc(spark.createDataFrame([([1],)], "a array<int>"), url, "other")
+    got = databases.read_jdbc(spark, databases.derby_jar(spark, url, str(tmp_path / "t.jar")), '"Own, rows"')
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([*rows, (1, rows[0][1], *[None] * 7)], key=str)
+    with pytest.raises(ValueError, match="no Derby"):
+        databases.derby_jar(spark, "jdbc:derby:memory:x", str(tmp_path / "u.jar"))
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__
+
+home = sys.argv[1]
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.checkpoint.dir", f"file://{home}/shared").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.executor.memory", "700m").getOrCreate()
+print(sorted(map(tuple, __spark_entry__.queries()["jdbc_round_trip"](spark, sys.argv[2]).collect())))
+"""
+
+
+def test_jdbc_among_processes(spark, tmp_path):
+    """Executors that are processes of their own: what they share is the folder for checkpoints."""
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors work in Spark's home
+        if p.name != "work":
+            (tmp_path / p.name).symlink_to(p)
+    repo, data = Path(__file__).resolve().parents[1], "/root/testdata/sf0.001"
+    env = os.environ | {"SPARK_HOME": str(tmp_path), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": str(repo), "PYSPARK_PYTHON": sys.executable}
+    env = {k: x for k, x in env.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    out = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path), data], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    want = spark.read.parquet(f"{data}/supplier.parquet").filter("s_suppkey > 5").select("s_suppkey", "s_name", "s_acctbal")
+    assert out.stdout.strip() == str(sorted(map(tuple, want.collect()))), out.stderr[-3000:]
+
+
 def test_jdbc_options():
     assert databases.jdbc_url("postgresql", "db.example", "sales data") == "jdbc:postgresql://db.example:5432/sales+data"
     assert databases.jdbc_url("mysql", "::1", "x", 3307) == "jdbc:mysql://[::1]:3307/x"
