@@ -14,6 +14,7 @@ from ..functions import values as v
 from ..functions.aggregates import Aggregator, over_groups
 from ..functions.compiler import Context, compile_condition, compile_formula, compile_node, conjuncts, context, quoted
 from ..functions.formula import FormulaError, Node, columns_of, parse
+from .kept import kept
 from .names import default_name, new_name
 
 #: Bytes of the smaller side of a join without equalities that is sent to all tasks; a larger one is not.
@@ -285,7 +286,10 @@ class Dataset:
         return self.df.collect()
 
     def batches(self, size: int = 256) -> Iterator[list[Row]]:
-        """Rows as they are ready, in batches; a partition is fetched while another is read."""
+        """Rows as they are ready, in batches; a partition is fetched while another is read.
+
+        All rows come to the driver: for a table of any size, ``numbered`` leaves them with the tasks.
+        """
         held: list[Row] = []
         for row in self.df.toLocalIterator(prefetchPartitions=True):
             held.append(row)
@@ -296,6 +300,26 @@ class Dataset:
             yield held
 
 
+    def numbered(self, size: int = 256, name: str = "batch") -> Dataset:
+        """Each row with the number of its batch, from 0: all batches have ``size`` rows, the last one at most that.
+
+        Batches follow the order of rows and partitions, as those of ``batches`` do, and go on from
+        one partition into the next: totals of the partitions before tell each row its place.
+        """
+        if size < 1:
+            raise ValueError("a batch has at least one row")
+        df = self.df
+        place, part, n, before = (new_name(x, [*df.columns, name]) for x in ("__place", "__part", "__n", "__before"))
+        rows = kept(df.withColumn(place, F.monotonically_increasing_id()))  # the same places serve totals and rows
+        own = F.shiftright(place, 33)  # Spark puts the partition above the 33 bits of the place in it
+        totals = rows.groupBy(own.alias(part)).agg(F.count(F.lit(1)).alias(n))
+        earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        starts = totals.select(part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+        at = F.col(before) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+        batch = F.call_function("div", at, F.lit(size)).alias(name)
+        return self._with(rows.join(F.broadcast(starts), own == F.col(part)).select(*(rows[quoted(c)] for c in df.columns if c.lower() != name.lower()), batch))
+
+
 def alike(a, b) -> bool:
     return a == b or v.kind_of(a)[0] == v.kind_of(b)[0] != v.TEXT and v.kind_of(a)[0] in (v.LONG, v.DOUBLE, v.TIME)
 

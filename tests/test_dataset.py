@@ -231,6 +231,35 @@ def test_batches(xyz):
     assert max(sizes) == 256
 
 
+def test_numbered_batches_are_those_of_rows_as_they_come(spark):
+    ids = Dataset(spark.range(0, 1000, 1, 7).filter("id < 300 or id > 720").withColumnRenamed("id", "__place"))  # partitions of unlike sizes, some empty
+    for size in (1, 7, 256, 579, 5000):
+        got: dict[int, list] = {}
+        for r in ids.numbered(size, "no").rows():
+            got.setdefault(r.no, []).append(r["__place"])
+        assert [sorted(got[k]) for k in range(len(got))] == [[r["__place"] for r in b] for b in ids.batches(size)]
+    assert ids.numbered(300, "__PLACE").columns == ["__PLACE"]
+    assert Dataset(spark.range(0)).numbered().rows() == []
+    with pytest.raises(ValueError, match="at least one"):
+        ids.numbered(0)
+
+
+def test_batches_of_rows_leaves_rows_with_the_tasks(spark, tmp_path, monkeypatch):
+    from tabflow.plans.queries import QUERIES
+
+    def no(*args, **options):
+        raise AssertionError("rows to the driver")
+
+    spark.range(0, 10_001, 1, 3).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/full/orders.parquet")
+    spark.range(0).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/none/orders.parquet")
+    with monkeypatch.context() as m:
+        for name in ("collect", "toLocalIterator", "toArrow", "toPandas"):
+            m.setattr(type(spark.range(0)), name, no)
+        full, none = (QUERIES["batches_of_rows"](spark, f"{tmp_path}/{x}") for x in ("full", "none"))
+    assert full.dtypes == [("rows", "bigint"), ("batches", "bigint")]
+    assert [tuple(r) for r in full.collect() + none.collect()] == [(10_001, 40), (0, 0)]
+
+
 def test_empty_table(spark):
     t = Dataset(spark.createDataFrame([], "a long, b string"))
     assert t.filter("a>1").sort([Order("a")]).distinct().rows() == []
